@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import decontamination, near_dup, packing, pii, sharding, toxicity, url_filter, vector_search
 
 
 def queries() -> dict:
     return {
+        "op1_url_template_tree": url_filter.query,
+        "op2_crf_toxicity": toxicity.query,
+        "op3_order_minhash": near_dup.query,
         "op4_best_fit_packing": packing.query,
+        "op6_va_file_search": vector_search.query,
+        "op7_validated_pii": pii.query,
         "op8_virtual_slots": sharding.query,
+        "op10_spaced_seeds": decontamination.query,
     }
 
 
