@@ -63,15 +63,28 @@ def join_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8), offsets
 
 
+CHUNK = 1 << 19
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of all white-space separated words, A-Z folded, and the index of each text's first word."""
-    space = np.empty(len(data) + 1, dtype=bool)
-    space[0] = True
-    np.take(_SPACE, data, out=space[1:])
-    edges = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = edges[0::2], edges[1::2]
-    prefix = prefix_hash(_LOWER[data])
-    return span_hash(prefix, starts, ends), starts, ends, np.searchsorted(starts, offsets)
+    """Hashes, starts and ends of all white-space separated words, A-Z folded, and the index of each text's first word.
+
+    Works through the buffer in chunks that end at white space, so that tables and temporaries stay small."""
+    found, begin, n = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0, len(data)
+    while begin < n:
+        end = min(n, begin + CHUNK)
+        if end < n:
+            tail = np.flatnonzero(_SPACE[data[begin:end]])
+            end = begin + int(tail[-1]) + 1 if len(tail) else begin + int(np.flatnonzero(_SPACE[data[begin:]])[0]) + 1
+        part = data[begin:end]
+        inside = np.zeros(len(part) + 1, dtype=bool)
+        np.logical_not(_SPACE[part], out=inside[1:])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[0::2], edges[1::2]
+        found.append((span_hash(prefix_hash(_LOWER[part]), starts, ends), starts + begin, ends + begin))
+        begin = end
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+    return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
 def window_extreme(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, whole
+from .common import read, whole, written
 
 #: 1: the word counts; 0: any word may stand there.
 MASKS = ("11111", "1101101", "1110011", "1011011")
@@ -62,5 +62,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return enough.groupBy("doc_id", "text_key", "item_id").agg(F.max("n_same").alias("n_same"), F.max("n_window").alias("n_window"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without those whose text agrees with a test item."""
+    keys = written(contaminated(docs, benchmark).select(F.col("text_key").alias("__key")).distinct(), "contaminated")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_SEEDS else keys
+    rows = docs.withColumn("__key", F.md5(whole("text").cast("binary")))
+    return rows.join(keys, "__key", "left_anti").select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")

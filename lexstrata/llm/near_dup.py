@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ._bytes import join_texts, mix, words
 from .common import read, whole, written
 
-SHINGLE, PICK, BANDS, ORDERS, SIMILAR, BATCH_BYTES = 5, 3, 16, 4, 0.8, 8_000_000
+SHINGLE, PICK, BANDS, ORDERS, SIMILAR, BATCH_BYTES, BROADCAST_ROWS = 5, 3, 16, 4, 0.8, 8_000_000, 1_000_000
 TOP = np.uint64(2**64 - 1)
 
 
@@ -94,7 +94,7 @@ def samples(labelled: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, node binary, n long, bands array<long>, words binary"
+SKETCH = "doc_id long, text_key string, node binary, n long, bands array<long>, words binary"
 
 
 def sketch(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes]]:
@@ -116,13 +116,19 @@ def sketched(docs: DataFrame) -> DataFrame:
         from .toxicity import in_batches
 
         for b in batches:
-            texts = pd.Series(b.column(1).to_pylist(), dtype=object)
+            texts = pd.Series(b.column(2).to_pylist(), dtype=object)
             for part in in_batches(texts, BATCH_BYTES):
                 nodes, n, bands, packed = sketch(texts[part].tolist())
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, part.stop - part.start), pa.array(nodes, pa.binary()), pa.array(n.astype(np.int64)), flat, pa.array(packed, pa.binary())], names=["doc_id", "node", "n", "bands", "words"])
+                own = [c.slice(part.start, part.stop - part.start) for c in b.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(nodes, pa.binary()), pa.array(n.astype(np.int64)), flat, pa.array(packed, pa.binary())], names=["doc_id", "text_key", "node", "n", "bands", "words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text")).mapInArrow(run, SKETCH)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), whole("text").alias("text"))
+    return rows.mapInArrow(run, SKETCH).withColumn("row", F.monotonically_increasing_id())
+
+
+def text_key():
+    return F.md5(whole("text").cast("binary")).alias("text_key")
 
 
 def chain(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -151,8 +157,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (n + m - shared)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pairs (a, b) with column similar; nodes: node and words."""
+def verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """pairs (a, b) of row numbers, with column similar. Only the word sequences that pairs name are moved."""
 
     def run(batches):
         def labelled(blob: bytes) -> np.ndarray:
@@ -166,11 +172,14 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 if x != last:
                     last, kept = x, labelled(x)
                 similar.append(similarity(kept, labelled(y)) >= SIMILAR)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(similar)], names=["a", "b", "similar"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(similar, pa.bool_())], names=["a", "b", "similar"])
 
-    one = nodes.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
-    two = nodes.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "words_a", "words_b").mapInArrow(run, "a binary, b binary, similar boolean")
+    pairs = written(pairs, "met")
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "named")
+    small = named.count() <= BROADCAST_ROWS
+    own = written(sketches.select("row", "words").join(F.broadcast(named) if small else named, "row", "left_semi"), "sequences")
+    one, two = own.toDF("a", "words_a"), own.toDF("b", "words_b")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long, similar boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,40 +198,56 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def leaders(buckets: DataFrame, orders: range) -> DataFrame:
-    """A row for each bucket of two or more nodes and each order: band, key, leader."""
-    least = [F.min(F.struct(F.xxhash64(F.lit(i), F.col("node")), F.col("node"))).alias(f"l{i}") for i in orders]
+    """A row for each bucket of two or more nodes and each order's leader: band, key, leader."""
+    least = [F.min(F.struct(F.xxhash64(F.lit(i), "order"), "row")).alias(f"l{i}") for i in orders]
     found = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *least).filter(F.col("n") > 1)
-    return found.select("band", "key", F.explode(F.array_distinct(F.array(*[F.col(f"l{i}.node") for i in orders]))).alias("leader"))
+    return found.select("band", "key", F.explode(F.array_distinct(F.array(*[F.col(f"l{i}.row") for i in orders]))).alias("leader"))
 
 
 def met(buckets: DataFrame, led: DataFrame) -> DataFrame:
     """Distinct pairs (a: leader, b: member)."""
-    return buckets.join(led, ["band", "key"]).filter(F.col("leader") != F.col("node")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    return buckets.join(led, ["band", "key"]).filter(F.col("leader") != F.col("row")).select(F.col("leader").alias("a"), F.col("row").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), n_links (verified links of the document's text), first (whether the
-    row is the one to keep of its class), node."""
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: doc_id, text_key and node of each row; node, class_id, n_class, n_links, keep_id and keep_key
+    (doc_id and text_key of the row to keep, the least of the class, null ids last)."""
     sketches = written(sketched(docs), "sketches")
-    nodes = written(sketches.filter(F.col("n") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.first("words").alias("words")), "nodes")
-    buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    first = written(verified(met(buckets, leaders(buckets, range(1))), nodes), "pairs")
-    failed = first.filter(~F.col("similar")).select(F.col("b").alias("node")).distinct()
-    again = met(buckets.join(failed, "node", "left_semi"), leaders(buckets, range(1, ORDERS)))
-    more = written(verified(again.join(first, ["a", "b"], "left_anti"), nodes), "pairs")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
+    nodes = written(sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("n").alias("n"), least, F.count(F.lit(1)).alias("n_rows")), "nodes")
+    buckets = nodes.filter(F.col("n") > 0).select("row", F.xxhash64("node").alias("order"), F.posexplode("bands").alias("band", "key"))
+    first = written(verified(met(buckets, leaders(buckets, range(1))), sketches), "pairs")
+    failed = first.filter(~F.col("similar")).select(F.col("b").alias("row")).distinct()
+    again = met(buckets.join(failed, "row", "left_semi"), leaders(buckets, range(1, ORDERS)))
+    more = written(verified(again.join(first, ["a", "b"], "left_anti"), sketches), "pairs")
     links = first.unionByName(more).filter("similar").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = written(links, "links")
     labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = labels.join(degree, "node")
-    rows = sketches.select("doc_id", "node").join(known, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = written(rows, "members")
-    least = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_class"))
-    return rows.join(least, "label").select("doc_id", "class_id", "n_links", "n_class", "label", "node")
+    known = labels.join(degree, "node").withColumnRenamed("node", "row")
+    of = nodes.select("node", "row", "least", "n_rows").join(known, "row", "left")
+    of = written(of.select("node", "least", "n_rows", F.coalesce("label", "row").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "labelled")
+    whole_ = of.groupBy("label").agg(F.min("least").alias("least"), F.sum("n_rows").alias("n_class"))
+    judged = of.select("node", "label", "n_links").join(whole_, "label").select("node", F.col("least.doc_id").alias("class_id"), "n_class", "n_links", F.col("least.text_key").alias("keep_key"))
+    return sketches.select("doc_id", "text_key", "node"), written(judged, "classes")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class), n_links (verified links of the row's text to other texts), n_class."""
+    rows, judged = classes(docs)
+    return rows.join(judged, "node").select("doc_id", "class_id", "n_links", "n_class")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each class: its least doc_id."""
+    kept = classes(docs)[1].select(F.col("class_id").alias("__id"), F.col("keep_key").alias("__key")).distinct()
+    rows = docs.withColumn("__text", text_key())
+    out = rows.join(kept, (rows["doc_id"].eqNullSafe(kept["__id"])) & (rows["__text"] == kept["__key"]))
+    return out.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_class")
+    return near_duplicates(read(spark, sf_dir, "documents"))
 
 
 __all__ = ["near_duplicates", "query"]

@@ -276,5 +276,10 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"), F.col("__offsets").alias("offsets"))
 
 
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without those that the model rejects."""
+    return scored(docs, labels).filter(F.col("__score") < THRESHOLD).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
