@@ -32,7 +32,7 @@ PATTERNS = {
 }
 BASE = ("email", "ip", "card", "phone")
 WORDS = {"iban": r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b", "secret": r"(?i)\b(?:token|key|secret|password|passwd|api)\b"}
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 

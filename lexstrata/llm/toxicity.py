@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from ._bytes import join_texts, mix, prefix_hash, span_hash
 from .common import read, whole
 
-SAMPLE, SAMPLE_BYTES, ROUNDS, BATCH_BYTES, THRESHOLD = 1500, 6000, 60, 8_000_000, 0.7
-LEAST_DOCS, LEAST_ODDS = 5, 12.0
+SAMPLE, SAMPLE_BYTES, ROUNDS, BATCH_BYTES, THRESHOLD = 1000, 3000, 60, 8_000_000, 0.7
+LEAST_DOCS, LEAST_ODDS, BROADCAST_ROWS = 5, 12.0, 1_000_000
 FEATURES = (("word", None), ("first", 3), ("first", 4), ("first", 5), ("first", 6), ("last", 4))
 
 _WORD = np.zeros(256, dtype=bool)
@@ -155,11 +155,10 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         least[i] = s.min() if len(s) else i
     once = np.unique(np.stack([least, toxic.astype(np.uint64)], 1), axis=0, return_index=True)[1]
     keep = np.isin(row, once)
-    flat = hashes[keep].ravel()
-    docs = np.repeat(row[keep], len(FEATURES))
-    seen = np.unique(np.stack([flat, docs.astype(np.uint64)], 1), axis=0)
-    keys, inverse = np.unique(seen[:, 0], return_inverse=True)
-    of = toxic[seen[:, 1].astype(np.int64)]
+    flat, docs = hashes[keep].ravel(), np.repeat(row[keep], len(FEATURES))
+    seen = np.unique(mix(flat ^ mix(docs.astype(np.uint64))), return_index=True)[1]  # each feature once a text
+    keys, inverse = np.unique(flat[seen], return_inverse=True)
+    of = toxic[docs[seen]]
     in_toxic, in_clean = np.bincount(inverse, of, len(keys)), np.bincount(inverse, 1 - of, len(keys))
     n_toxic, n_clean = max(1, toxic[once].sum()), max(1, (1 - toxic[once]).sum())
     odds = (in_toxic / n_toxic) / ((in_clean + 0.5) / n_clean)
@@ -236,6 +235,7 @@ def in_batches(texts: pd.Series, size: int = BATCH_BYTES) -> Iterator[slice]:
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """At most SAMPLE labelled texts of each kind, none of them held out."""
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).dropDuplicates(["doc_id"])
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     texts = docs.select("doc_id", whole("text").alias("text")).filter(F.length("text").between(1, SAMPLE_BYTES))
     out = []
     for y in (0, 1):
