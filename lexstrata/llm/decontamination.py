@@ -33,31 +33,43 @@ def seed(words: Column, at: Column, mask: str) -> Column:
 
 
 def seeds(rows: DataFrame, words: str) -> DataFrame:
-    """A row for each place and mask: columns at and seed are added."""
-    placed = rows.select("*", F.posexplode(words).alias("at", "__word")).drop("__word")
+    """A row for each place and mask: columns at and seed are added. The outer form spares a second look at the words."""
+    placed = rows.select("*", F.posexplode_outer(words).alias("at", "__word")).drop("__word")
     each = F.explode(F.array(*[seed(F.col(words), F.col("at"), m) for m in MASKS])).alias("seed")
     return placed.select("*", each).filter(F.col("seed").isNotNull())
 
 
-def overlap(words: Column, item: Column, shift: Column) -> tuple[Column, Column]:
-    """Most agreeing places of any window of the item, and the window's length; shift: the item's start in the document."""
+def overlap(words: Column, item: Column) -> tuple[Column, Column]:
+    """Most agreeing places of any window of the item, and the window's length; words: the document's, side by side with
+    the item's, null where it has none."""
     n = F.size(item)
     length = F.least(n, F.lit(WINDOW))
-    same = F.transform(item, lambda w, i: F.when(F.get(words, shift + i).eqNullSafe(w) & (shift + i >= 0), 1).otherwise(0))
+    same = F.zip_with(item, words, lambda v, w: F.when(w == v, 1).otherwise(0))
     sums = F.transform(F.sequence(F.lit(1), n - length + 1), lambda s: F.aggregate(F.slice(same, s, length), F.lit(0), lambda a, x: a + x))
     return F.array_max(sums), length
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document and item that agree: doc_id, text_key (md5 of the text), item_id, n_same, n_window."""
+    """A row for each document and item that agree: doc_id, text_key (md5 of the text), item_id, n_same, n_window.
+
+    Hits carry the document's words beside the item only; they are made distinct before they are verified, so a place
+    that many seeds hit is looked at once."""
     items = benchmark.select("item_id", word_hashes(whole("text")).alias("item_words"))
-    found = seeds(items, "item_words").select("seed", "item_id", "item_words", F.col("at").alias("item_at"))
-    many = found.count()
-    found = F.broadcast(found) if many <= BROADCAST_SEEDS else found
+    items = items.select(F.monotonically_increasing_id().alias("item"), "item_id", "item_words")
+    items = written(items, "items")
+    found = written(seeds(items, "item_words").select("seed", "item", F.col("at").alias("item_at"), F.size("item_words").alias("item_size")), "seeds")
+    small = found.count() <= BROADCAST_SEEDS
     texts = docs.select("doc_id", F.md5(whole("text").cast("binary")).alias("text_key"), word_hashes(whole("text")).alias("words"))
-    hits = seeds(texts, "words").join(found, "seed")
-    same, length = overlap(F.col("words"), F.col("item_words"), F.col("at") - F.col("item_at"))
-    shown = hits.select("doc_id", "text_key", "item_id", same.alias("n_same"), length.alias("n_window"))
+    hits = seeds(texts, "words").join(F.broadcast(found) if small else found, "seed")
+    shift = F.col("at") - F.col("item_at")
+    first = F.greatest(shift, F.lit(0))
+    beside = F.slice("words", first + 1, F.least(F.col("item_size"), F.size("words") - first))
+    places = hits.select("doc_id", "text_key", "item", F.least(shift, F.lit(0)).alias("before"), beside.alias("beside")).distinct()
+    both = places.join(F.broadcast(items) if small else items, "item")
+    words = F.concat(F.array_repeat(F.lit(None).cast("long"), -F.col("before")), F.col("beside"))
+    padded = F.slice(F.concat(words, F.array_repeat(F.lit(None).cast("long"), F.size("item_words"))), F.lit(1), F.size("item_words"))
+    same, length = overlap(padded, F.col("item_words"))
+    shown = both.select("doc_id", "text_key", "item_id", same.alias("n_same"), length.alias("n_window"))
     enough = shown.filter(F.col("n_same") >= F.ceil(F.col("n_window") * F.lit(SHARE)))
     return enough.groupBy("doc_id", "text_key", "item_id").agg(F.max("n_same").alias("n_same"), F.max("n_window").alias("n_window"))
 

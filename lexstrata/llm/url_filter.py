@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, written
 
 #: (verdict, host and path); the longest rule that fits wins, then the first.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -87,8 +87,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = rows.withColumns({**{f"s{i}": F.coalesce(F.get("__segments", F.lit(i)), F.lit("")) for i in range(DEPTH)}, "tail": F.array_join(F.slice("__segments", DEPTH + 1, 1 << 30), "/")}).drop("__segments")
     key = ["host", *[f"s{i}" for i in range(DEPTH)], "tail"]
     paths = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"), F.count_if(F.col("ruled") == "allow").alias("good"))
+    paths = written(paths, "paths")  # else each level would double the plan
     for level in range(DEPTH):
-        paths = generalised(paths, level)
+        paths = written(generalised(paths, level), "paths")
     template = ["host", *[f"t{i}" for i in range(DEPTH)]]
     purity = (F.sum("bad") + ALPHA / 2) / (F.sum("bad") + F.sum("good") + ALPHA)
     judged = salted(paths.select(*key, *template[1:]), paths.groupBy(*template).agg(purity.alias("purity")), template, key)
