@@ -7,7 +7,7 @@ word a(h) times its own probability, and a(h) = (1 - sum of the seen pairs) / (1
 probabilities), so each context sums to one exactly. A context whose counts all exceed K gets c(h) + 1 for c(h). A
 context that training lacks backs off with weight one.
 
-No text leaves its batch: texts become batches of word numbers, written once. Each batch asks the partition of a word
+Texts become compressed batches, written once, and meet only the answers to their own batch. Each batch asks the partition of a word
 (by hash range) or of a context (by hash) with sorted arrays of what it holds and its training counts, each entry
 once; the partition merges them, keeps its part of the count table (kind `table`, a Parquet table by partition), and
 answers each batch entry by entry. So the load of a partition depends on distinct entries and not on how often a word
@@ -34,18 +34,33 @@ from pyspark.sql import functions as F
 from ._bytes import join_texts, mix, words
 from .common import read, tasks, whole, written
 
-K, BATCH_BYTES = 5, 16_000_000
+K, BATCH_BYTES = 5, 12_000_000
 END = np.uint64(0x656E64)
 MESSAGE = "batch long, part int, kind string, a binary, b binary, c binary, d binary, e binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """Compressed array; the bytes of equal rank stand together, so that leading zeros cost nothing."""
+    x = np.ascontiguousarray(x)
+    planes = x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T if x.itemsize > 1 else x
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpacked(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind) if size > 1 else raw.view(kind)
+
+
+def packed_text(data: np.ndarray) -> bytes:
+    """Compressed text; copies far apart are found too."""
+    how = zstandard.ZstdCompressionParameters.from_level(3, enable_ldm=True, window_log=24)
+    return zstandard.ZstdCompressor(compression_params=how).compress(data.tobytes())
+
+
+def unpacked_text(b: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor(max_window_size=1 << 27).decompress(b), dtype=np.uint8)
 
 
 def parts_of(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -54,21 +69,9 @@ def parts_of(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(sorted_hashes, cuts), [len(sorted_hashes)]])
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
-    """One row per batch of texts: a: word numbers in the batch, b: its sorted word hashes, c: tokens of each text,
-    d: doc_ids (with e's second bit for null), e: first bit for texts held out."""
-
-    def message(batch: int, texts: list[str], ids: np.ndarray, flags: np.ndarray):
-        data, offsets = join_texts(texts)
-        hashes, _, _, first = words(data, offsets)
-        n = np.diff(first)
-        out = np.empty(len(hashes) + len(texts), dtype=np.uint64)
-        ends = np.cumsum(n + 1) - 1
-        inside = np.ones(len(out), dtype=bool)
-        inside[ends] = False
-        out[inside], out[ends] = hashes, END
-        known, number = np.unique(out, return_inverse=True)
-        return (batch, 0, "text", packed(number.astype("<u4")), packed(known), packed((n + 1).astype("<u4")), packed(ids), packed(flags))
+def batched(docs: DataFrame) -> DataFrame:
+    """One row per batch of texts: a: the texts, b: their offsets, d: doc_ids, e: first bit for texts held out, second
+    for null ids."""
 
     def run(batches):
         task, k = TaskContext.get().partitionId(), 0
@@ -77,8 +80,9 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
         def flush():
             nonlocal held, size, k
-            texts = [h[0] for h in held]
-            row = message((task << 32) + k, texts, np.array([h[1] or 0 for h in held], dtype=np.int64), np.array([bool(h[2]) + 2 * (h[1] is None) for h in held], dtype=np.uint8))
+            data, offsets = join_texts([h[0] for h in held])
+            flags = np.array([bool(h[2]) + 2 * (h[1] is None) for h in held], dtype=np.uint8)
+            row = ((task << 32) + k, 0, "text", packed_text(data), packed(offsets), None, packed(np.array([h[1] or 0 for h in held], dtype=np.int64)), packed(flags))
             held, size, k = [], 0, k + 1
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ARROW, strict=True)], schema=ARROW)
 
@@ -103,17 +107,22 @@ def frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 class Batch:
-    """A batch of texts: tokens as numbers of its sorted words."""
+    """A batch of texts: tokens as numbers of its sorted words; every text's last token is the end word."""
 
     def __init__(self, row):
-        self.number = unpacked(row.a, "<u4")
-        self.words = unpacked(row.b, np.uint64)
-        self.n = unpacked(row.c, "<u4").astype(np.int64)
+        hashes, _, _, first = words(unpacked_text(row.a), unpacked(row.b, "<i8"))
+        self.n = np.diff(first) + 1
+        self.first = np.concatenate([[0], np.cumsum(self.n)])
+        tokens = np.full(self.first[-1], END, dtype=np.uint64)
+        inside = np.ones(len(tokens), dtype=bool)
+        inside[self.first[1:] - 1] = False
+        tokens[inside] = hashes
+        self.words, number = np.unique(tokens, return_inverse=True)
+        self.number = number.astype(np.uint32)
         self.ids = unpacked(row.d, np.int64)
         flags = unpacked(row.e, np.uint8)
         self.held, self.null = (flags & 1).astype(bool), (flags & 2).astype(bool)
         self.trains = np.repeat(~self.held, self.n)
-        self.first = np.concatenate([[0], np.cumsum(self.n)])
 
     def answered(self, replies: pd.DataFrame, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Training count and global number of each word of the batch. base: numbers that come before each partition's."""
@@ -318,7 +327,7 @@ def evaluate(parts: int, base: np.ndarray, start: int, distinct: int, unigram: U
 
 def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    texts = written(tokenised(docs), "batches")
+    texts = written(batched(docs), "batches")
     parts = tasks(spark)
     by_word = written(texts.mapInArrow(ask_words(parts), MESSAGE).groupBy("part").applyInPandas(merge_words, MESSAGE), "words")
     tables = by_word.filter("kind = 'table'").select("part", "c", "d").collect()  # a few numbers for each partition

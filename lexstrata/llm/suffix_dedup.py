@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 
 from ._bytes import BASE_INVERSE, join_texts, mix, powers, prefix_hash, span_hash, window_extreme
 from .common import read, tasks, whole, written
-from .language_model import ARROW, MESSAGE, frame, packed, parts_of, unpacked
+from .language_model import ARROW, MESSAGE, frame, packed, packed_text, parts_of, unpacked, unpacked_text
 
-LENGTH, K, SHARD_BYTES, CHUNK, HOT = 400, 100, 3_900_000, 1 << 16, 4096
+LENGTH, K, SHARD_BYTES, CHUNK, HOT = 400, 100, 3_900_000, 1 << 16, 16384
 WINDOW, LEFT = LENGTH - K + 1, LENGTH - K
 NONE = np.uint64(2**64 - 1)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -72,7 +72,7 @@ class Shard:
     """A shard's texts, and its anchors with their contexts; `distinct` (anchor, context) pairs in order of their hashes."""
 
     def __init__(self, row):
-        self.data = unpacked(row.a, np.uint8)
+        self.data = unpacked_text(row.a)
         self.offsets = unpacked(row.b, "<i8")
         self.ids, self.null = unpacked(row.c, np.int64), unpacked(row.d, np.uint8).astype(bool)
         at = np.cumsum(unpacked(row.e, "<u4").astype(np.int64))
@@ -96,14 +96,19 @@ class Shard:
         replies = replies.sort_values("part")
         return np.concatenate([unpacked(x, np.uint8) for x in replies["a"]] or [np.zeros(0, np.uint8)])
 
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Digests of all strings of some contexts, with the context's number in `which` and the bytes before the anchor."""
+    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Digests of all strings of some contexts, and where they start."""
         first, last = self.lo[which], self.hi[which] - LENGTH
         many = last - first + 1
         of = np.repeat(np.arange(len(which)), many)
         start = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[of]
         digest = mix(span_hash(self.prefix, start, start + LENGTH) ^ self.anchor[which][of])
-        return digest, of, self.at[which][of] - start
+        return digest, start
+
+    def in_steps(self, which: np.ndarray, step: int = 1000):
+        """strings() of some contexts at a time, so that memory is bounded however many are hot."""
+        for k in range(0, len(which), step):
+            yield self.strings(which[k : k + step])
 
 
 def sharded(docs: DataFrame) -> DataFrame:
@@ -117,7 +122,7 @@ def sharded(docs: DataFrame) -> DataFrame:
             nonlocal texts, ids, size, k
             data, offsets = join_texts(texts)
             at = anchors(data, offsets)
-            row = ((task << 32) + k, 0, "text", packed(data), packed(offsets), packed(np.array([i or 0 for i in ids], dtype=np.int64)), packed(np.array([i is None for i in ids], dtype=np.uint8)), packed(np.diff(at, prepend=0).astype("<u4")))
+            row = ((task << 32) + k, 0, "text", packed_text(data), packed(offsets), packed(np.array([i or 0 for i in ids], dtype=np.int64)), packed(np.array([i is None for i in ids], dtype=np.uint8)), packed(np.diff(at, prepend=0).astype("<u4")))
             texts, ids, size, k = [], [], 0, k + 1
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ARROW, strict=True)], schema=ARROW)
 
@@ -193,10 +198,10 @@ def send(parts: int):
                 out.append((text["batch"], p, "context", s.anchor[w].tobytes(), packed(sizes), packed(body), None, None))
         hot = s.distinct[(code == HOT_SEND) | (code == HOT_COVERED_SEND)]
         if len(hot):
-            digest = s.strings(hot)[0]
-            known, many = np.unique(digest, return_counts=True)
+            known, many = np.unique(np.concatenate([d for d, _ in s.in_steps(hot)]), return_counts=True)
+            many = np.minimum(many, 2).astype(np.uint8)
             at = parts_of(known, parts)
-            out += [(text["batch"], p, "string", known[at[p] : at[p + 1]].tobytes(), packed(np.minimum(many[at[p] : at[p + 1]], 2).astype(np.uint8)), None, None, None) for p in range(parts) if at[p] < at[p + 1]]
+            out += [(text["batch"], p, "string", known[at[p] : at[p + 1]].tobytes(), packed(many[at[p] : at[p + 1]]), None, None, None) for p in range(parts) if at[p] < at[p + 1]]
         return frame(out)
 
     return run
@@ -239,19 +244,24 @@ def cut(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def shared_strings(anchor: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each context the least and greatest number of bytes before its anchor at which a string that another
-    context shares starts; -1 if there is none. left: bytes before the anchor, backwards; right: from it on."""
-    n = len(anchor)
+def table(body: np.ndarray, first: np.ndarray, size: np.ndarray, width: int, step: int) -> np.ndarray:
+    """Rows of bytes body[first], body[first + step], .. of the given sizes, padded with 255."""
+    out = np.full((len(first), width), 255, dtype=np.uint8)
+    for k in range(0, len(first), 2000):  # some rows at a time: index arrays are eight times the bytes
+        f, n = first[k : k + 2000, None], size[k : k + 2000, None]
+        place = np.arange(width)[None, :]
+        there = place < n
+        out[k : k + 2000][there] = body[(f + step * place)[there]]
+    return out
 
-    def table(parts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-        size = np.array([len(x) for x in parts])
-        out = np.full((n, width), 255, dtype=np.uint8)
-        out[np.arange(width)[None, :] < size[:, None]] = np.concatenate(parts)
-        return out, size
 
-    before, n_left = table(left, -(-LEFT // 8) * 8)
-    after, n_right = table(right, LENGTH)
+def shared_strings(anchor: np.ndarray, body: np.ndarray, middle: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each context the least and greatest number of bytes before its anchor at which a string that another
+    context shares starts; -1 if there is none. middle: where the anchor stands in body, with n_left bytes of context
+    before it and n_right from it on."""
+    n = len(anchor)
+    before = table(body, middle - 1, n_left, -(-LEFT // 8) * 8, -1)
+    after = table(body, middle, n_right, LENGTH, 1)
     group = np.unique(anchor, return_inverse=True)[1]
     back, ahead = suffix_order(group, before), suffix_order(group, after)
     least, greatest = np.full(n, -1, dtype=np.int32), np.full(n, -1, dtype=np.int32)
@@ -273,16 +283,13 @@ def merge(rows: pd.DataFrame) -> pd.DataFrame:
     out = []
     contexts = rows[rows["kind"] == "context"]
     if len(contexts):
-        anchor, left, right, asks = [], [], [], []
-        for r in contexts.itertuples():
-            anchor.append(np.frombuffer(r.a, np.uint64))
-            sizes, body = unpacked(r.b, "<u2").reshape(3, -1).astype(np.int64), unpacked(r.c, np.uint8)
-            asks.append(sizes[2].astype(bool))
-            end = np.cumsum(sizes[0] + sizes[1])
-            for e, x, y in zip(end, sizes[0], sizes[1], strict=True):
-                left.append(body[e - y - x : e - y][::-1])
-                right.append(body[e - y : e])
-        least, greatest = shared_strings(np.concatenate(anchor), left, right)
+        anchor = np.concatenate([np.frombuffer(x, np.uint64) for x in contexts["a"]])
+        sizes = [unpacked(x, "<u2").reshape(3, -1).astype(np.int64) for x in contexts["b"]]
+        asks = [x[2].astype(bool) for x in sizes]
+        n_left, n_right = (np.concatenate([x[k] for x in sizes]) for k in (0, 1))
+        body = np.concatenate([unpacked(x, np.uint8) for x in contexts["c"]])
+        least, greatest = shared_strings(anchor, body, np.cumsum(n_left + n_right) - n_right, n_left, n_right)
+        del body
         at = 0
         for batch, own in zip(contexts["batch"], asks, strict=True):
             place = np.flatnonzero(own) + at
@@ -320,10 +327,11 @@ def remove(rows: pd.DataFrame) -> pd.DataFrame:
     twice = [unpacked(x, bool) for x in rows[rows["kind"] == "twice"].sort_values("part")["a"]]
     if twice:
         hot = s.distinct[(code == HOT_SEND) | (code == HOT_COVERED_SEND)]
-        digest, of, before = s.strings(hot)
-        found = np.concatenate(twice)[np.searchsorted(np.unique(digest), digest)]
-        start = (s.at[hot][of] - before)[found]
-        cover(start, start + LENGTH)
+        found = np.concatenate(twice)
+        known = np.unique(np.concatenate([d for d, _ in s.in_steps(hot)]))[found]
+        for digest, start in s.in_steps(hot) if len(known) else []:
+            own = start[known[np.minimum(np.searchsorted(known, digest), len(known) - 1)] == digest]
+            cover(own, own + LENGTH)
     gone = np.cumsum(change[:-1]) > 0
     out = []
     for k, i in enumerate(s.ids):

@@ -39,7 +39,7 @@ def corpus(seed):
     return texts + texts[8:11] + [prose(70) + "e" * 900, "e" * 700 + prose(3)]
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
+@pytest.mark.parametrize("hot", [16384, 3])
 def test_equals_brute_force(documents, monkeypatch, hot):
     monkeypatch.setattr(sd, "HOT", hot)
     monkeypatch.setattr(sd, "SHARD_BYTES", 9000)
