@@ -101,10 +101,11 @@ def term_count(x: Column | str, terms: Sequence[str]) -> Column:
 
 
 def shingles(words: Column, n: int) -> Column:
-    """Distinct runs of n words (STR-17)."""
+    """Hashes of all runs of n words (STR-17)."""
     count = F.size(words) - (n - 1)
-    made = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(count > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    made = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, n)))
+    return F.when(count > 0, made).otherwise(F.array().cast("array<bigint>"))
 
 
 def script_ratio(x: Column | str) -> Column:

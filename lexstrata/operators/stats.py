@@ -153,7 +153,8 @@ def dispersion_test(df: DataFrame, group: str, features: list[str], key: str, ti
     between = F.sum(F.col("s") ** 2 / F.col("n")) - F.sum("s") ** 2 / F.sum("n")
     within = F.sum(F.col("q") - F.col("s") ** 2 / F.col("n"))
     k = len(sizes)
-    f = sums.groupBy("b").agg((between / (k - 1) / (within / (F.sum("n") - k))).alias("f"))
+    ratio = F.try_divide(between / max(k - 1, 1), within / (F.sum("n") - k))
+    f = sums.groupBy("b").agg(F.when(within > 1e-9, ratio).otherwise(F.lit(float("inf"))).alias("f"))
     own = F.max(F.when(F.col("b") == 0, F.col("f"))).over(Window.partitionBy())
     return f.withColumn("own", own).agg(F.first("own").alias("pseudo_f"), ((F.count_if((F.col("b") > 0) & (F.col("f") >= F.col("own"))) + 1) / (F.lit(times) + 1)).alias("p"))
 

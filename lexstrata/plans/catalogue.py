@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational  # noqa: F401  importing registers
+from . import relational, sampling, textual  # noqa: F401  importing registers
 from .registry import ORACLES, QUERIES
 
 
