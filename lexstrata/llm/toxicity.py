@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field; its marginals give document scores and offending offsets.
 
 Words are runs of letters and digits (and any byte over 127), A-Z folded; a word's features are the word itself and
-its first 3 to 6 bytes and last 4. Token labels come from the labelled documents: a feature that many toxic documents
-of the training sample have and clean ones lack marks its tokens as toxic there. The field (two states, emission
+its first 3 to 6 bytes and last 4. Token labels come from the labelled documents: a feature that toxic documents
+of the training sample have far more often than clean ones (odds and likelihood ratio) marks its tokens as toxic there. The field (two states, emission
 weight per feature, transition weights) is fitted by AdaGrad on the log-likelihood; forward-backward marginals over
 the whole text follow as ratios, vectorised over documents of like length. The score is a logistic function of the
 two highest marginals and of the log of their sum over 1/2.
@@ -30,7 +30,7 @@ from ._bytes import join_texts, mix, prefix_hash, span_hash
 from .common import read, whole
 
 SAMPLE, SAMPLE_BYTES, ROUNDS, BATCH_BYTES, THRESHOLD = 1000, 3000, 60, 8_000_000, 0.7
-LEAST_DOCS, LEAST_ODDS, BROADCAST_ROWS = 5, 12.0, 1_000_000
+LEAST_ODDS, LEAST_RATIO, BROADCAST_ROWS = 12.0, 30.0, 1_000_000
 FEATURES = (("word", None), ("first", 3), ("first", 4), ("first", 5), ("first", 6), ("last", 4))
 
 _WORD = np.zeros(256, dtype=bool)
@@ -162,7 +162,11 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     in_toxic, in_clean = np.bincount(inverse, of, len(keys)), np.bincount(inverse, 1 - of, len(keys))
     n_toxic, n_clean = max(1, toxic[once].sum()), max(1, (1 - toxic[once]).sum())
     odds = (in_toxic / n_toxic) / ((in_clean + 0.5) / n_clean)
-    marked = (in_toxic >= LEAST_DOCS) & (odds >= LEAST_ODDS)
+    share = (in_toxic + in_clean) / (n_toxic + n_clean)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.nan_to_num(in_toxic * np.log(in_toxic / (share * n_toxic))) + np.nan_to_num(in_clean * np.log(in_clean / (share * n_clean))))
+    # so many features are tested that chance alone would mark some below this
+    marked = (odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO)
     used = (in_toxic + in_clean >= 3) | marked
     model = Model(keys[used], np.zeros(int(used.sum())), -3.0, np.log(np.array([[0.95, 0.05], [0.7, 0.3]])), None)
     columns = model.columns(hashes)
