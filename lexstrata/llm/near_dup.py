@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ._bytes import join_texts, mix, words
 from .common import read, whole, written
 
-SHINGLE, PICK, BANDS, ORDERS, SIMILAR, BATCH_BYTES, BROADCAST_ROWS = 5, 3, 16, 4, 0.8, 8_000_000, 1_000_000
+SHINGLE, PICK, BANDS, ORDERS, SIMILAR, BATCH_BYTES, BROADCAST_ROWS = 5, 3, 16, 4, 0.8, 4_000_000, 1_000_000
 TOP = np.uint64(2**64 - 1)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from ._bytes import join_texts, mix, prefix_hash, span_hash
 from .common import read, whole
 
-SAMPLE, SAMPLE_BYTES, ROUNDS, BATCH_BYTES, THRESHOLD = 1000, 3000, 60, 8_000_000, 0.7
+SAMPLE, SAMPLE_BYTES, ROUNDS, BATCH_BYTES, THRESHOLD = 1000, 3000, 60, 2_000_000, 0.7
 LEAST_ODDS, LEAST_RATIO, BROADCAST_ROWS = 12.0, 30.0, 1_000_000
 FEATURES = (("word", None), ("first", 3), ("first", 4), ("first", 5), ("first", 6), ("last", 4))
 
