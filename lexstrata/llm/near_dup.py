@@ -4,9 +4,10 @@ A document's words (white-space separated, A-Z folded) give shingles of five wor
 number. For each of BANDS samples the PICK labelled shingles with the least hashes are taken and hashed in the order
 in which they stand in the text, so a sample agrees for texts of small edit distance. Texts that are equal as word
 sequences form one node. In a bucket (equal sample) members meet leaders, not each other: a leader is the least
-member in one of ORDERS hash orders. A first pass verifies each member with the leader by the first order; members
-that fail anywhere meet the leaders by the other orders of all their buckets. So a bucket of any size costs a few
-pairs per member, and a text of a group escapes only if it is unlike every leader of its 16 buckets.
+member in one of ORDERS hash orders. A first pass verifies each member with the leader by the first order, which is
+the same in all buckets; members that fail anywhere meet the leaders by the other orders, which differ from band to
+band, in all their buckets: up to BANDS x (ORDERS - 1) other texts. So a bucket of any size costs a few
+pairs per member, and a text of a group escapes only if it is unlike every leader of its buckets.
 
 Verification aligns the two sequences: equal labelled shingles whose places differ by no more than the band (the most
 that the required similarity allows) are chained by the longest increasing subsequence; with m in the chain the
@@ -199,7 +200,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def leaders(buckets: DataFrame, orders: range) -> DataFrame:
     """A row for each bucket of two or more nodes and each order's leader: band, key, leader."""
-    least = [F.min(F.struct(F.xxhash64(F.lit(i), "order"), "row")).alias(f"l{i}") for i in orders]
+    by = lambda i: F.xxhash64(F.lit(i), "band", "order") if i else F.col("order")
+    least = [F.min(F.struct(by(i), "row")).alias(f"l{i}") for i in orders]
     found = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *least).filter(F.col("n") > 1)
     return found.select("band", "key", F.explode(F.array_distinct(F.array(*[F.col(f"l{i}.row") for i in orders]))).alias("leader"))
 
