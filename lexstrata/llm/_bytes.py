@@ -63,6 +63,19 @@ def join_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8), offsets
 
 
+def runs(column, size: int):
+    """Slices (start, stop) of an Arrow text column of about `size` characters each, one text at least."""
+    import pyarrow.compute as pc
+
+    total = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(column), 0), dtype=np.int64))
+    begin = 0
+    while begin < len(column):
+        done = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, done + size)))
+        yield begin, end
+        begin = end
+
+
 CHUNK = 1 << 19
 
 

@@ -87,9 +87,9 @@ def batched(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ARROW, strict=True)], schema=ARROW)
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.append(row)
-                size += len(row[0])
+            for i in range(b.num_rows):  # one text at a time: a batch of long ones is large as Python objects
+                held.append(tuple(c[i].as_py() for c in b.columns))
+                size += len(held[-1][0])
                 if size >= BATCH_BYTES:
                     yield flush()
         if held:

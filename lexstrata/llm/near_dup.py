@@ -26,12 +26,11 @@ from bisect import bisect_left
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import join_texts, mix, words
+from ._bytes import join_texts, mix, runs, words
 from .common import read, whole, written
 
 SHINGLE, PICK, BANDS, ORDERS, SIMILAR, BATCH_BYTES, BROADCAST_ROWS = 5, 3, 16, 4, 0.8, 4_000_000, 1_000_000
@@ -114,14 +113,11 @@ def sketch(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[
 
 def sketched(docs: DataFrame) -> DataFrame:
     def run(batches):
-        from .toxicity import in_batches
-
         for b in batches:
-            texts = pd.Series(b.column(2).to_pylist(), dtype=object)
-            for part in in_batches(texts, BATCH_BYTES):
-                nodes, n, bands, packed = sketch(texts[part].tolist())
+            for i, j in runs(b.column(2), BATCH_BYTES):
+                nodes, n, bands, packed = sketch(b.column(2).slice(i, j - i).to_pylist())
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
-                own = [c.slice(part.start, part.stop - part.start) for c in b.columns[:2]]
+                own = [c.slice(i, j - i) for c in b.columns[:2]]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(nodes, pa.binary()), pa.array(n.astype(np.int64)), flat, pa.array(packed, pa.binary())], names=["doc_id", "text_key", "node", "n", "bands", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), whole("text").alias("text"))

@@ -41,7 +41,7 @@ from ._bytes import BASE_INVERSE, join_texts, mix, powers, prefix_hash, span_has
 from .common import read, tasks, whole, written
 from .language_model import ARROW, MESSAGE, frame, packed, packed_text, parts_of, unpacked, unpacked_text
 
-LENGTH, K, SHARD_BYTES, CHUNK, HOT = 400, 100, 3_900_000, 1 << 16, 16384
+LENGTH, K, SHARD_BYTES, CHUNK, HOT = 400, 100, 2_000_000, 1 << 16, 16384
 WINDOW, LEFT = LENGTH - K + 1, LENGTH - K
 NONE = np.uint64(2**64 - 1)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -127,7 +127,8 @@ def sharded(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ARROW, strict=True)], schema=ARROW)
 
         for b in batches:
-            for t, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for r in range(b.num_rows):
+                t, i = b.column(0)[r].as_py(), b.column(1)[r].as_py()
                 if texts and size + len(t) > SHARD_BYTES:
                     yield flush()
                 texts.append(t)
@@ -346,7 +347,7 @@ def remove(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    parts = tasks(docs.sparkSession)
+    parts = 2 * tasks(docs.sparkSession)
     shards = written(sharded(docs), "shards")
     codes = written(shards.mapInArrow(ask_anchors(parts), MESSAGE).groupBy("part").applyInPandas(judge_anchors, MESSAGE), "codes")
     both = shards.unionByName(codes)

@@ -21,12 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import join_texts, mix, prefix_hash, span_hash
+from ._bytes import join_texts, mix, prefix_hash, runs, span_hash
 from .common import read, whole
 
 SAMPLE, SAMPLE_BYTES, ROUNDS, BATCH_BYTES, THRESHOLD = 1000, 3000, 60, 2_000_000, 0.7
@@ -225,17 +224,6 @@ def scores(texts: list[str], model: Model) -> tuple[np.ndarray, list[str]]:
     return 1 / (1 + np.exp(-x @ model.document)), spans
 
 
-def in_batches(texts: pd.Series, size: int = BATCH_BYTES) -> Iterator[slice]:
-    """Runs of rows of about `size` characters."""
-    total = texts.str.len().cumsum()
-    begin = 0
-    while begin < len(texts):
-        done = total.iloc[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(total.to_numpy(), done + size)))
-        yield slice(begin, end)
-        begin = end
-
-
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """At most SAMPLE labelled texts of each kind, none of them held out."""
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).dropDuplicates(["doc_id"])
@@ -270,10 +258,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         m = shipped.value
         for b in batches:
-            texts = pd.Series([t or "" for t in b.column(place).to_pylist()], dtype=object)
-            found, where = np.zeros(len(texts)), [""] * len(texts)
-            for part in in_batches(texts) if m else []:
-                found[part], where[part] = scores(texts[part].tolist(), m)
+            found, where = np.zeros(b.num_rows), [""] * b.num_rows
+            for i, j in runs(b.column(place), BATCH_BYTES) if m else []:
+                found[i:j], where[i:j] = scores([t or "" for t in b.column(place).slice(i, j - i).to_pylist()], m)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found), pa.array(where, pa.string())], names=[*[f"c{i}" for i in range(width)], "score", "offsets"])
 
     numbered = docs.toDF(*[f"c{i}" for i in range(width)])
