@@ -29,13 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    tidy: for steps with large shuffles, whose files then go before the next step begins."""
     spark = df.sparkSession
-    release(spark)  # what the step before this one left
+    if tidy:
+        release(spark)  # what the step before this one left
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    release(spark)
+    if tidy:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -327,9 +327,9 @@ def evaluate(parts: int, base: np.ndarray, start: int, distinct: int, unigram: U
 
 def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    texts = written(batched(docs), "batches")
+    texts = written(batched(docs), "batches", tidy=True)
     parts = tasks(spark)
-    by_word = written(texts.mapInArrow(ask_words(parts), MESSAGE).groupBy("part").applyInPandas(merge_words, MESSAGE), "words")
+    by_word = written(texts.mapInArrow(ask_words(parts), MESSAGE).groupBy("part").applyInPandas(merge_words, MESSAGE), "words", tidy=True)
     tables = by_word.filter("kind = 'table'").select("part", "c", "d").collect()  # a few numbers for each partition
     sums = {r["part"]: np.frombuffer(r["c"], "<i8") for r in tables}
     tokens, distinct = (int(sum(s[k] for s in sums.values())) for k in (0, 1))
@@ -340,7 +340,7 @@ def scored(docs: DataFrame) -> DataFrame:
     unigram = Unigram(tokens, sum((np.frombuffer(r["d"], "<i8") for r in tables), np.zeros(K + 2, dtype=np.int64)))
     words_of = by_word.filter("kind = 'word'")
     asks = texts.unionByName(words_of).groupBy("batch").applyInPandas(ask_pairs(parts, base, start), MESSAGE)
-    by_pair = written(asks.groupBy("part").applyInPandas(merge_pairs(unigram), MESSAGE), "pairs")
+    by_pair = written(asks.groupBy("part").applyInPandas(merge_pairs(unigram), MESSAGE), "pairs", tidy=True)
     of = by_pair.filter("kind = 'table'").select("e").collect()  # K + 2 numbers for each partition
     d = discounts(sum((np.frombuffer(r["e"], "<i8") for r in of), np.zeros(K + 2, dtype=np.int64)))
     rows = texts.unionByName(words_of).unionByName(by_pair.filter("kind = 'pair'"))

@@ -210,14 +210,14 @@ def met(buckets: DataFrame, led: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two written tables: doc_id, text_key and node of each row; node, class_id, n_class, n_links, keep_id and keep_key
     (doc_id and text_key of the row to keep, the least of the class, null ids last)."""
-    sketches = written(sketched(docs), "sketches")
+    sketches = written(sketched(docs), "sketches", tidy=True)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
-    nodes = written(sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("n").alias("n"), least, F.count(F.lit(1)).alias("n_rows")), "nodes")
+    nodes = written(sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("n").alias("n"), least, F.count(F.lit(1)).alias("n_rows")), "nodes", tidy=True)
     buckets = nodes.filter(F.col("n") > 0).select("row", F.xxhash64("node").alias("order"), F.posexplode("bands").alias("band", "key"))
-    first = written(verified(met(buckets, leaders(buckets, range(1))), sketches), "pairs")
+    first = written(verified(met(buckets, leaders(buckets, range(1))), sketches), "pairs", tidy=True)
     failed = first.filter(~F.col("similar")).select(F.col("b").alias("row")).distinct()
     again = met(buckets.join(failed, "row", "left_semi"), leaders(buckets, range(1, ORDERS)))
-    more = written(verified(again.join(first, ["a", "b"], "left_anti"), sketches), "pairs")
+    more = written(verified(again.join(first, ["a", "b"], "left_anti"), sketches), "pairs", tidy=True)
     links = first.unionByName(more).filter("similar").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = written(links, "links")
     labels = components(links)

@@ -279,6 +279,17 @@ def shared_strings(anchor: np.ndarray, body: np.ndarray, middle: np.ndarray, n_l
     return least, greatest
 
 
+def slabs(anchor: np.ndarray, most: int = 8192):
+    """Index arrays of about `most` contexts each; those of one anchor (HOT at most) stay together."""
+    order = np.argsort(anchor, kind="stable")
+    ends = np.append(np.flatnonzero(anchor[order][1:] != anchor[order][:-1]) + 1, len(order))
+    begin = 0
+    while begin < len(order):
+        end = int(ends[max(np.searchsorted(ends, begin + most, side="right") - 1, np.searchsorted(ends, begin, side="right"))])
+        yield order[begin:end]
+        begin = end
+
+
 def merge(rows: pd.DataFrame) -> pd.DataFrame:
     part = int(rows["part"].iloc[0])
     out = []
@@ -289,7 +300,10 @@ def merge(rows: pd.DataFrame) -> pd.DataFrame:
         asks = [x[2].astype(bool) for x in sizes]
         n_left, n_right = (np.concatenate([x[k] for x in sizes]) for k in (0, 1))
         body = np.concatenate([unpacked(x, np.uint8) for x in contexts["c"]])
-        least, greatest = shared_strings(anchor, body, np.cumsum(n_left + n_right) - n_right, n_left, n_right)
+        middle = np.cumsum(n_left + n_right) - n_right
+        least, greatest = np.full(len(anchor), -1, dtype=np.int32), np.full(len(anchor), -1, dtype=np.int32)
+        for own in slabs(anchor):
+            least[own], greatest[own] = shared_strings(anchor[own], body, middle[own], n_left[own], n_right[own])
         del body
         at = 0
         for batch, own in zip(contexts["batch"], asks, strict=True):
@@ -348,10 +362,10 @@ def remove(rows: pd.DataFrame) -> pd.DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     parts = 2 * tasks(docs.sparkSession)
-    shards = written(sharded(docs), "shards")
-    codes = written(shards.mapInArrow(ask_anchors(parts), MESSAGE).groupBy("part").applyInPandas(judge_anchors, MESSAGE), "codes")
+    shards = written(sharded(docs), "shards", tidy=True)
+    codes = written(shards.mapInArrow(ask_anchors(parts), MESSAGE).groupBy("part").applyInPandas(judge_anchors, MESSAGE), "codes", tidy=True)
     both = shards.unionByName(codes)
-    found = written(both.groupBy("batch").applyInPandas(send(parts), MESSAGE).groupBy("part").applyInPandas(merge, MESSAGE), "found")
+    found = written(both.groupBy("batch").applyInPandas(send(parts), MESSAGE).groupBy("part").applyInPandas(merge, MESSAGE), "found", tidy=True)
     return both.unionByName(found).groupBy("batch").applyInPandas(remove, RESULT)
 
 
