@@ -8,6 +8,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Customary units as (pattern, metric unit, factor, offset).
 CUSTOMARY = (
@@ -23,13 +24,13 @@ METRIC = (("킬로미터|kilomet(?:er|re)s?|km/h|km", "km"), ("센티미터|cent
 _NUMBER = r"(\d+(?:,\d{3})*(?:\.\d+)?)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(column: pd.Series) -> pd.Series:
     """Compatibility form (STR-25)."""
     return column.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(column: pd.Series) -> pd.Series:
     """Full case folding (STR-3)."""
     return column.map(lambda x: None if x is None else x.casefold())
@@ -60,13 +61,13 @@ def json_part(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def balanced_json(column: pd.Series) -> pd.Series:
     """json_part of each text (STR-23)."""
     return column.map(json_part)
 
 
-@F.pandas_udf("struct<sentence:string,ratio:double>")
+@F.pandas_udf(T.StructType([T.StructField("sentence", T.StringType()), T.StructField("ratio", T.DoubleType())]))
 def best_sentence(sentences: pd.Series, wanted: pd.Series) -> pd.DataFrame:
     """The sentence most like a text by difflib, null below 0.28 (STR-18)."""
     from difflib import SequenceMatcher
@@ -92,7 +93,7 @@ def metric(text: str | None) -> str | None:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_metric(column: pd.Series) -> pd.Series:
     return column.map(metric)
 
@@ -110,6 +111,6 @@ def quantities(text: str | None) -> list[str]:
     return sorted(out)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def canonical_quantities(column: pd.Series) -> pd.Series:
     return column.map(quantities)
