@@ -3,11 +3,13 @@
 A document's words (white-space separated, A-Z folded) give shingles of five words, each labelled with its occurrence
 number. For each of BANDS samples the PICK labelled shingles with the least hashes are taken and hashed in the order
 in which they stand in the text, so a sample agrees for texts of small edit distance. Texts that are equal as word
-sequences form one node. In a bucket (equal sample) members meet leaders, not each other: a leader is the least
+sequences form one node. In a bucket (equal sample) members meet leaders first: a leader is the least
 member in one of ORDERS hash orders. A first pass verifies each member with the leader by the first order, which is
 the same in all buckets; members that fail anywhere meet the leaders by the other orders, which differ from band to
-band, in all their buckets: up to BANDS x (ORDERS - 1) other texts. So a bucket of any size costs a few
-pairs per member, and a text of a group escapes only if it is unlike every leader of its buckets.
+band, in all their buckets. Then every bucket that still has two classes or more goes on with GROWTH, GROWTH^2, ..
+leaders, texts with many links first, until each pair of its texts is verified, in one class, or proven unlike by
+size or by counts of shingles per hash bin. So the classes are those that all pairs of all buckets give; a large
+bucket costs a few pairs per member while its members join, and up to all its pairs where they are unlike.
 
 Verification aligns the two sequences: equal labelled shingles whose places differ by no more than the band (the most
 that the required similarity allows) are chained by the longest increasing subsequence; with m in the chain the
@@ -34,6 +36,7 @@ from ._bytes import join_texts, mix, runs, words
 from .common import read, whole, written
 
 SHINGLE, PICK, BANDS, ORDERS, SIMILAR, BATCH_BYTES, BROADCAST_ROWS = 5, 3, 16, 4, 0.8, 4_000_000, 1_000_000
+BINS, GROWTH, SALTS = 128, 4, 16
 TOP = np.uint64(2**64 - 1)
 
 
@@ -94,11 +97,19 @@ def samples(labelled: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, text_key string, node binary, n long, bands array<long>, words binary"
+SKETCH = "doc_id long, text_key string, node binary, n long, bands array<long>, words binary, bins binary"
 
 
-def sketch(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes]]:
-    """Nodes, shingle counts, samples and packed 32-bit word hashes."""
+def binned(labelled: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each text its number of labelled shingles in each of BINS ranges of hashes, 255 at most."""
+    n = len(start) - 1
+    row = np.repeat(np.arange(n), np.diff(start))
+    at = row * BINS + (labelled % np.uint64(BINS)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
+
+
+def sketch(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Nodes, shingle counts, samples, packed 32-bit word hashes and counts per bin."""
     data, offsets = join_texts(texts)
     hashes, _, _, first = words(data, offsets)
     labelled, start = shingles(hashes, first)
@@ -108,17 +119,17 @@ def sketch(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[
         own = slice(first[i], first[i + 1])
         nodes.append(md5(hashes[own].tobytes() if own.stop > own.start else t.encode("utf-8", "surrogatepass")).digest())
         packed.append(zlib.compress(short[own].tobytes(), 1))
-    return nodes, np.diff(start), samples(labelled, start), packed
+    return nodes, np.diff(start), samples(labelled, start), packed, binned(labelled, start)
 
 
 def sketched(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for i, j in runs(b.column(2), BATCH_BYTES):
-                nodes, n, bands, packed = sketch(b.column(2).slice(i, j - i).to_pylist())
+                nodes, n, bands, packed, bins = sketch(b.column(2).slice(i, j - i).to_pylist())
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
                 own = [c.slice(i, j - i) for c in b.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(nodes, pa.binary()), pa.array(n.astype(np.int64)), flat, pa.array(packed, pa.binary())], names=["doc_id", "text_key", "node", "n", "bands", "words"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(nodes, pa.binary()), pa.array(n.astype(np.int64)), flat, pa.array(packed, pa.binary()), pa.array([x.tobytes() for x in bins], pa.binary())], names=["doc_id", "text_key", "node", "n", "bands", "words", "bins"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), whole("text").alias("text"))
     return rows.mapInArrow(run, SKETCH).withColumn("row", F.monotonically_increasing_id())
@@ -207,20 +218,67 @@ def met(buckets: DataFrame, led: DataFrame) -> DataFrame:
     return buckets.join(led, ["band", "key"]).filter(F.col("leader") != F.col("row")).select(F.col("leader").alias("a"), F.col("row").alias("b")).distinct()
 
 
+def close(batches):
+    """Pairs whose counts per bin don't rule out SIMILAR: the counts differ by no more than the shingles do."""
+    for b in batches:
+        one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in ("bins_a", "bins_b"))
+        most = (b.column("n_a").to_numpy() + b.column("n_b").to_numpy()) * (1 - SIMILAR) / (1 + SIMILAR)
+        kept = np.abs(one - two).sum(axis=1) <= most + 1e-6
+        yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(kept)) for k in ("a", "b")], names=["a", "b"])
+
+
+def settled(buckets: DataFrame, sketches: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a < b) and labels once no pair of different classes is left unverified in any bucket.
+
+    seen: verified pairs. Each text has a place from 0 to 1, nearer 0 the more links it has. In a round the texts
+    with a place under share / size of a bucket are its leaders and meet all texts of greater places, and share grows."""
+    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similar")
+    parts = [ordered(seen)]
+    members, done = None, 0
+    while True:
+        pairs = parts[0]
+        for p in parts[1:]:
+            pairs = pairs.unionByName(p)
+        links = written(pairs.filter("similar").select("a", "b").distinct(), "links")
+        labels = components(links)
+        if members is None:
+            degree = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("degree"))
+            uniform = F.pmod(F.xxhash64("order"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+            members = buckets.join(degree, "row", "left").select("row", "n", "band", "key", (uniform / F.pow(F.coalesce("degree", F.lit(0)) + 1, 2)).alias("place"))
+        now = members.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        found = now.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+        mixed = found.filter((F.col("size") > max(done, 1)) & (F.col("low") < F.col("high"))).select("band", "key", "size")
+        now = written(now.join(mixed, ["band", "key"]), "open", tidy=True)
+        if not now.limit(1).count():
+            return links, labels
+        members = now.drop("label", "size")
+        share = max(done, 1) * GROWTH
+        bins = sketches.select("row", "bins").join(now.select("row").distinct(), "row", "left_semi")
+        now = now.join(bins, "row")
+        leads = now.filter((F.col("place") < F.lit(share) / F.col("size")) & (F.col("place") >= F.lit(done) / F.col("size")))
+        one = leads.select("band", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("row", "n", "place", "label", "bins")])
+        two = now.select("band", "key", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), *[F.col(c).alias(f"{c}_b") for c in ("row", "n", "place", "label", "bins")])
+        later = F.struct("place_a", "row_a") < F.struct("place_b", "row_b")
+        alike = F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b")
+        left = two.join(one, ["band", "key", "salt"]).filter(later & alike & (F.col("label_a") != F.col("label_b")))
+        left = left.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"), "n_a", "n_b", "bins_a", "bins_b")
+        left = left.mapInArrow(close, "a long, b long").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        parts.append(ordered(written(verified(left, sketches), "pairs", tidy=True)))
+        done = share
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two written tables: doc_id, text_key and node of each row; node, class_id, n_class, n_links, keep_id and keep_key
     (doc_id and text_key of the row to keep, the least of the class, null ids last)."""
     sketches = written(sketched(docs), "sketches", tidy=True)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
     nodes = written(sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("n").alias("n"), least, F.count(F.lit(1)).alias("n_rows")), "nodes", tidy=True)
-    buckets = nodes.filter(F.col("n") > 0).select("row", F.xxhash64("node").alias("order"), F.posexplode("bands").alias("band", "key"))
+    buckets = nodes.filter(F.col("n") > 0).select("row", "n", F.xxhash64("node").alias("order"), F.posexplode("bands").alias("band", "key"))
     first = written(verified(met(buckets, leaders(buckets, range(1))), sketches), "pairs", tidy=True)
     failed = first.filter(~F.col("similar")).select(F.col("b").alias("row")).distinct()
     again = met(buckets.join(failed, "row", "left_semi"), leaders(buckets, range(1, ORDERS)))
     more = written(verified(again.join(first, ["a", "b"], "left_anti"), sketches), "pairs", tidy=True)
-    links = first.unionByName(more).filter("similar").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = written(links, "links")
-    labels = components(links)
+    links, labels = settled(buckets, sketches, first.unionByName(more))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = labels.join(degree, "node").withColumnRenamed("node", "row")
     of = nodes.select("node", "row", "least", "n_rows").join(known, "row", "left")

@@ -73,3 +73,23 @@ def test_one_of_each_and_odd_rows(documents, spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == [(False, 3, "A b c d e f"), (False, 7, "q"), (True, 0, "")]
     assert kept.columns == [*docs.columns, "row"]
     assert nd.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_star_equals_brute_force(documents):
+    rng = random.Random(12)
+    base = [f"s{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(1000):
+        w = list(base)
+        for k in rng.sample(range(4, 196), 4):
+            w[k] = f"{i}n{k}"
+        texts.append(" ".join(w))
+    bands = nd.sketch(texts)[2]
+    own = [nd.shingles(h, np.array([0, len(h)]))[0] for h in (np.array([hash(w) & (2**64 - 1) for w in t.split()], np.uint64) for t in texts)]
+    label = np.arange(len(texts))
+    for i in range(len(texts)):
+        for j in np.flatnonzero((bands == bands[i]).any(axis=1) & (label != label[i])):
+            if label[i] != label[j] and nd.similarity(own[i], own[j]) >= nd.SIMILAR:
+                label[np.isin(label, (label[i], label[j]))] = min(label[i], label[j])
+    rows = {r.doc_id: r.class_id for r in nd.near_duplicates(documents(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == label.tolist()
