@@ -153,33 +153,36 @@ def ask_anchors(parts: int):
     return run
 
 
-def judge_anchors(rows: pd.DataFrame) -> pd.DataFrame:
-    part = int(rows["part"].iloc[0])
-    pieces = [np.frombuffer(x, np.uint64) for x in rows["a"]]
-    a, c = np.concatenate(pieces), np.concatenate([np.frombuffer(x, np.uint64) for x in rows["b"]])
-    many = np.concatenate([unpacked(x, np.uint8) for x in rows["c"]]).astype(np.int64)
-    order = np.lexsort((c, a))
-    sa, sc = a[order], c[order]
-    new_a = np.ones(len(sa), dtype=bool)
-    new_a[1:] = sa[1:] != sa[:-1]
-    new_c = new_a.copy()
-    new_c[1:] |= sc[1:] != sc[:-1]
-    context = np.cumsum(new_c) - 1
-    total = np.bincount(context, many[order])
-    of_anchor = np.cumsum(new_a) - 1
-    contexts = np.bincount(of_anchor, new_c)[of_anchor]
-    covered = total[context] > 1
-    mixed = contexts > 1
-    code = np.where(covered, COVERED, ALONE)
-    # of a covered context one shard sends the text, for the others of its anchor
-    code = np.where(mixed & new_c, np.where(contexts > HOT, HOT_SEND, SEND) + covered, code)
-    out = np.empty(len(a), dtype=np.uint8)
-    out[order] = code
-    rows_out, at = [], 0
-    for batch, x in zip(rows["batch"], pieces, strict=True):
-        rows_out.append((batch, part, "code", packed(out[at : at + len(x)]), None, None, None, None))
-        at += len(x)
-    return frame(rows_out)
+def judge_anchors(hot: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        part = int(rows["part"].iloc[0])
+        pieces = [np.frombuffer(x, np.uint64) for x in rows["a"]]
+        a, c = np.concatenate(pieces), np.concatenate([np.frombuffer(x, np.uint64) for x in rows["b"]])
+        many = np.concatenate([unpacked(x, np.uint8) for x in rows["c"]]).astype(np.int64)
+        order = np.lexsort((c, a))
+        sa, sc = a[order], c[order]
+        new_a = np.ones(len(sa), dtype=bool)
+        new_a[1:] = sa[1:] != sa[:-1]
+        new_c = new_a.copy()
+        new_c[1:] |= sc[1:] != sc[:-1]
+        context = np.cumsum(new_c) - 1
+        total = np.bincount(context, many[order])
+        of_anchor = np.cumsum(new_a) - 1
+        contexts = np.bincount(of_anchor, new_c)[of_anchor]
+        covered = total[context] > 1
+        mixed = contexts > 1
+        code = np.where(covered, COVERED, ALONE)
+        # of a covered context one shard sends the text, for the others of its anchor
+        code = np.where(mixed & new_c, np.where(contexts > hot, HOT_SEND, SEND) + covered, code)
+        out = np.empty(len(a), dtype=np.uint8)
+        out[order] = code
+        rows_out, at = [], 0
+        for batch, x in zip(rows["batch"], pieces, strict=True):
+            rows_out.append((batch, part, "code", packed(out[at : at + len(x)]), None, None, None, None))
+            at += len(x)
+        return frame(rows_out)
+
+    return run
 
 
 def send(parts: int):
@@ -199,7 +202,12 @@ def send(parts: int):
                 out.append((text["batch"], p, "context", s.anchor[w].tobytes(), packed(sizes), packed(body), None, None))
         hot = s.distinct[(code == HOT_SEND) | (code == HOT_COVERED_SEND)]
         if len(hot):
-            known, many = np.unique(np.concatenate([d for d, _ in s.in_steps(hot)]), return_counts=True)
+            digest, start = (np.concatenate(x) for x in zip(*s.in_steps(hot), strict=True))
+            order = np.lexsort((start, digest))
+            digest, start = digest[order], start[order]
+            new = np.ones(len(digest), dtype=bool)
+            new[1:] = (digest[1:] != digest[:-1]) | (start[1:] != start[:-1])  # an anchor that stands twice in a string lists it twice
+            known, many = np.unique(digest[new], return_counts=True)
             many = np.minimum(many, 2).astype(np.uint8)
             at = parts_of(known, parts)
             out += [(text["batch"], p, "string", known[at[p] : at[p + 1]].tobytes(), packed(many[at[p] : at[p + 1]]), None, None, None) for p in range(parts) if at[p] < at[p + 1]]
@@ -363,7 +371,7 @@ def remove(rows: pd.DataFrame) -> pd.DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     parts = 2 * tasks(docs.sparkSession)
     shards = written(sharded(docs), "shards", tidy=True)
-    codes = written(shards.mapInArrow(ask_anchors(parts), MESSAGE).groupBy("part").applyInPandas(judge_anchors, MESSAGE), "codes", tidy=True)
+    codes = written(shards.mapInArrow(ask_anchors(parts), MESSAGE).groupBy("part").applyInPandas(judge_anchors(HOT), MESSAGE), "codes", tidy=True)
     both = shards.unionByName(codes)
     found = written(both.groupBy("batch").applyInPandas(send(parts), MESSAGE).groupBy("part").applyInPandas(merge, MESSAGE), "found", tidy=True)
     return both.unionByName(found).groupBy("batch").applyInPandas(remove, RESULT)

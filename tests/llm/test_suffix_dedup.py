@@ -51,6 +51,16 @@ def test_equals_brute_force(documents, monkeypatch, hot):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_hot_runs_beside_unique_text(documents):
+    rng = random.Random(2)
+    prose = lambda: "".join(rng.choice("abcdfgh ") for _ in range(500))
+    texts = [prose() + "e" * 900 + prose() for _ in range(40)]  # one anchor with about 600 contexts a text
+    rows = sd.deduplicated(documents(texts)).collect()
+    want = brute([t.encode() for t in texts])
+    got = {r.doc_id: tuple(r)[1:] for r in rows}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_odd_tables(documents):
     assert sd.deduplicated(documents(["a"]).limit(0)).collect() == []
     rows = sd.deduplicated(documents([(None, "x y " * 200), (None, "x y " * 200)])).collect()
