@@ -2,7 +2,7 @@
 
 Each kind's pattern proposes leftmost, non-overlapping spans; a validator (parts of at most 255, Luhn over 16 to 19
 digits, 8 to 15 digits) confirms them. The base kinds email, ip, card and phone need no more. Two further kinds are
-scored: `iban` (0.3, plus 0.6 if its remainder modulo 97 is 1) and `secret` (0.4 for a hexadecimal run of 32 or more);
+scored: `iban` (0.3, plus 0.6 as its remainder modulo 97 is 1; the longest of all possible ends for which it is) and `secret` (0.4 for a hexadecimal run of 32 or more);
 a word of the kind's list within CONTEXT characters before the span adds 0.3, and spans of 0.7 or more count.
 
 Patterns are written with possessive runs, and start only where a run starts or the last match ended, so a very long
@@ -27,12 +27,13 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}+){3,8}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",  # the head; accounts() finds the end
     "secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
 }
 BASE = ("email", "ip", "card", "phone")
 WORDS = {"iban": r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b", "secret": r"(?i)\b(?:token|key|secret|password|passwd|api)\b"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_ACCOUNT = r"^[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?:\x20[A-Z0-9]{2,}+)*(?:\x20[A-Z0-9]{1,4})?$"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -65,6 +66,36 @@ def mod97(x: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(step(a, c))) == 1
 
 
+def accounts(text: Column, heads: Column) -> Column:
+    """Spans of account numbers from the spans of their first four characters: of all ends that leave 15 to 34 letters
+    and digits, in groups of two or more and a last one of one to four, the farthest with valid check digits. What starts
+    inside an account is left out."""
+
+    def seen(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), F.substring(text, s["start"] + 1, F.lit(64)).alias("window"))
+
+    def longest(s: Column) -> Column:
+        window = s["window"]
+
+        def ends(n: Column) -> Column:
+            v = F.substring(window, F.lit(1), n)
+            free = (n <= F.length(window)) & ~F.substring(window, n + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+            return free & v.rlike(_ACCOUNT) & F.length(F.regexp_replace(v, " ", "")).between(15, 34) & mod97(v)
+
+        end = F.get(F.filter(F.sequence(F.lit(63), F.lit(15), F.lit(-1)), ends), F.lit(0))
+        return F.struct(s["start"].alias("start"), window.alias("window"), end.alias("end"))
+
+    def span(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), (s["start"] + s["end"]).alias("end"), F.substring(s["window"], F.lit(1), s["end"]).alias("value"))
+
+    def step(a: Column, s: Column) -> Column:
+        return F.when(s["start"] >= F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)), F.concat(a, F.array(s))).otherwise(a)
+
+    found = F.filter(F.transform(F.transform(heads, seen), longest), lambda s: s["end"].isNotNull())
+    found = F.transform(found, span).cast(SPAN)
+    return F.aggregate(found, F.array().cast(SPAN), step)
+
+
 VALID = {
     "email": lambda v: F.lit(True),
     "ip": lambda v: v.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"),
@@ -120,7 +151,7 @@ def find(docs: DataFrame) -> DataFrame:
     spans = {}
     for k in kinds:
         found = F.when(F.size(f"gaps_{k}") > 1, matches(F.col(f"gaps_{k}"), F.col(f"values_{k}"))).otherwise(F.array().cast(SPAN))
-        spans[k] = F.filter(found, confirmed(k))
+        spans[k] = F.filter(accounts(F.col("text"), found) if k == "iban" else found, confirmed(k))
     return out.withColumns(spans).drop(*[f"{x}_{k}" for k in kinds for x in ("gaps", "values")])
 
 

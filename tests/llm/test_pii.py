@@ -53,3 +53,14 @@ def test_redaction_and_odd_rows(documents):
     assert got == [(False, 1, "", -1), (False, 1, "to [EMAIL] from [IP] end", 24), (False, 2, "[PHONE]", 7), (True, 0, "x", 1)]
     assert pii.redact(docs).columns == docs.columns
     assert pii.report(docs.limit(0)).collect() == []
+
+
+def test_accounts_of_every_length(documents):
+    numbers = ["CH9300762011623852957", "HR1210010051863000160", "LV80BANK0000435195001", "UA213223130000026007233566001", "DE89370400440532013000", "CH93 0076 2011 6238 5295 7"]
+    texts = ["to " + x + end for x in numbers for end in ("", ".", " and on")]
+    texts += ["é 🙂 DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89370400440532013000 CH9300762011623852957", "CH9300762011623852958", "xCH9300762011623852957", "CH9300762011623852957x", "AB12 " * 60, "A" * 30000, "AB12" + "X" * 30000]
+    rows = {r.doc_id: r.spans for r in pii.report(documents(texts)).collect()}
+    got = [[tuple(map(int, s.split(":")[1:])) for s in rows[i].split(",") if s.startswith("iban:")] for i in range(len(texts))]
+    assert got[:18] == [[(3, 3 + len(x))] for x in numbers for _ in range(3)]
+    assert got[18:23] == [[(4, 31)], [(0, 22), (23, 44)], [], [], []]
+    assert got[24:] == [[], []]
