@@ -7,12 +7,14 @@ weight per feature, transition weights) is fitted by AdaGrad on the log-likeliho
 the whole text follow as ratios, vectorised over documents of like length. The score is a logistic function of the
 two highest marginals and of the log of their sum over 1/2.
 
-The sample is bounded: at most SAMPLE documents of each label, in the order of a hash of their text, each at most
-SAMPLE_BYTES long and near copies (equal minimum of three-word hashes) once. Scores read nothing but the text.
+The sample is bounded: the SAMPLE documents of each label that come first in the order of a hash of their text, whole
+texts of any length, near copies (equal minimum of three-word hashes) once. Only while the field is fitted long chains
+are cut into runs of CHAIN tokens, all of which count. Scores read nothing but the text.
 
 Edge cases: a null or empty text gets the score of a text without marginals; rows with a null doc_id are not held
-out; with no labelled rows of both kinds all scores are 0; repeated rows are scored alike; an empty table gives an
-empty result; further columns are ignored.
+out; a doc_id with labels that disagree is not learnt from; with no labelled rows of both kinds all scores are 0;
+repeated rows are scored alike; an empty table gives an empty result; further columns are kept by `clean` whatever
+their names.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ._bytes import join_texts, mix, prefix_hash, runs, span_hash
 from .common import read, whole
 
-SAMPLE, SAMPLE_BYTES, ROUNDS, BATCH_BYTES, THRESHOLD = 1000, 3000, 60, 2_000_000, 0.7
+SAMPLE, CHAIN, ROUNDS, BATCH_BYTES, THRESHOLD = 1000, 512, 60, 2_000_000, 0.7
 LEAST_ODDS, LEAST_RATIO, BROADCAST_ROWS = 12.0, 30.0, 1_000_000
 FEATURES = (("word", None), ("first", 3), ("first", 4), ("first", 5), ("first", 6), ("last", 4))
 
@@ -71,11 +74,11 @@ class Model:
     def columns(self, hashes: np.ndarray) -> np.ndarray:
         """Index of each feature, -1 where the model lacks it."""
         out = np.full(hashes.shape, -1, dtype=np.int32)
-        if len(self.keys):
-            maybe = np.nonzero(self.slots[(hashes & np.uint64(len(self.slots) - 1)).astype(np.int64)])
-            h = hashes[maybe]
+        for k in range(hashes.shape[1] if len(self.keys) else 0):  # one feature at a time: temporaries stay small
+            maybe = np.flatnonzero(self.slots[(hashes[:, k] & np.uint64(len(self.slots) - 1)).astype(np.int64)])
+            h = hashes[maybe, k]
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            out[maybe] = np.where(self.keys[at] == h, at, -1)
+            out[maybe, k] = np.where(self.keys[at] == h, at, -1)
         return out
 
     def emissions(self, columns: np.ndarray) -> np.ndarray:
@@ -141,6 +144,20 @@ def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def seen_in(hashes: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of one feature, and how many toxic and how many clean texts have each."""
+    keys, inverse = np.unique(hashes, return_inverse=True)
+    pairs = np.unique(inverse * np.int64(len(toxic)) + row)  # each feature once a text
+    at, of = pairs // len(toxic), toxic[pairs % len(toxic)]
+    return keys, np.bincount(at, of, len(keys)), np.bincount(at, 1 - of, len(keys))
+
+
+def chains(first: np.ndarray) -> np.ndarray:
+    """First tokens of the runs of CHAIN tokens at most that texts fall into, and the end."""
+    starts = [np.arange(a, b, CHAIN) for a, b in zip(first[:-1], first[1:], strict=True)]
+    return np.concatenate([*starts, first[-1:]]).astype(first.dtype)
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """A model of labelled texts."""
     hashes, starts, _, first, _ = tokens(texts)
@@ -154,11 +171,10 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         least[i] = s.min() if len(s) else i
     once = np.unique(np.stack([least, toxic.astype(np.uint64)], 1), axis=0, return_index=True)[1]
     keep = np.isin(row, once)
-    flat, docs = hashes[keep].ravel(), np.repeat(row[keep], len(FEATURES))
-    seen = np.unique(mix(flat ^ mix(docs.astype(np.uint64))), return_index=True)[1]  # each feature once a text
-    keys, inverse = np.unique(flat[seen], return_inverse=True)
-    of = toxic[docs[seen]]
-    in_toxic, in_clean = np.bincount(inverse, of, len(keys)), np.bincount(inverse, 1 - of, len(keys))
+    found = [seen_in(hashes[keep, k], row[keep], toxic) for k in range(len(FEATURES))]  # features differ in their keys
+    keys = np.concatenate([f[0] for f in found])
+    by = np.argsort(keys, kind="stable")
+    keys, in_toxic, in_clean = keys[by], *(np.concatenate([f[i] for f in found])[by] for i in (1, 2))
     n_toxic, n_clean = max(1, toxic[once].sum()), max(1, (1 - toxic[once]).sum())
     odds = (in_toxic / n_toxic) / ((in_clean + 0.5) / n_clean)
     share = (in_toxic + in_clean) / (n_toxic + n_clean)
@@ -171,8 +187,9 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     columns = model.columns(hashes)
     mark = np.append(marked[used], False)
     y = (mark[columns].any(axis=1) & (toxic[row] == 1)).astype(float)
+    cut = chains(first)
     follow = np.ones(len(y), dtype=bool)
-    follow[first[:-1][first[:-1] < len(y)]] = False
+    follow[cut[:-1]] = False
     was, now = y[np.flatnonzero(follow) - 1].astype(int), y[follow].astype(int)
     truth = np.bincount(was * 2 + now, minlength=4).reshape(2, 2).astype(float)
     step_w, step_b, step_t = np.full(len(model.keys), 1e-6), 1e-6, np.full((2, 2), 1e-6)
@@ -180,7 +197,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     flat_columns = columns[has]
     scale = max(1.0, y.sum())
     for _ in range(ROUNDS if y.any() else 0):
-        p, pairs = marginals(model.emissions(columns), model.change, first)
+        p, pairs = marginals(model.emissions(columns), model.change, cut)
         miss = y - p
         g = np.bincount(flat_columns, np.repeat(miss, has.sum(axis=1)), len(model.keys)) / scale - 1e-4 * model.weights
         step_w += g * g
@@ -191,7 +208,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         gt = (truth - pairs) / scale
         step_t += gt * gt
         model.change += 0.1 * gt / np.sqrt(step_t)
-    x = np.column_stack([np.ones(len(texts)), summary(marginals(model.emissions(columns), model.change, first)[0], first)])
+    x = np.column_stack([np.ones(len(texts)), summary(marginals(model.emissions(columns), model.change, cut)[0], first)])
     w = np.zeros(4)
     for _ in range(25):  # Newton's steps with a ridge
         q = 1 / (1 + np.exp(-x @ w))
@@ -225,33 +242,29 @@ def scores(texts: list[str], model: Model) -> tuple[np.ndarray, list[str]]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """At most SAMPLE labelled texts of each kind, none of them held out."""
-    known = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).dropDuplicates(["doc_id"])
+    """At most SAMPLE labelled texts of each kind, none of them held out: the first by hash of the text. Hashes and ids
+    find them; only their own texts come to the driver."""
+    known = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("high"))
+    known = known.filter(F.col("toxic") == F.col("high")).select("doc_id", "toxic")
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    texts = docs.select("doc_id", whole("text").alias("text")).filter(F.length("text").between(1, SAMPLE_BYTES))
-    out = []
-    for y in (0, 1):
-        own = known.filter(F.col("toxic") == y)
-        share = min(1.0, 20 * SAMPLE / max(1, own.count()))
-        # only so many as the sample may need come near the driver; all, where the documents lack most labelled ids
-        for limit in (share, 1.0):
-            few = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit * (1 << 20))
-            rows = texts.join(few, "doc_id").select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE).collect()
-            if len(rows) >= SAMPLE // 2 or limit == 1.0:
-                break
-        out += [(r[0], y) for r in rows]
-    return out
+    text = whole("text")
+    rows = docs.filter(F.length(text) > 0).select("doc_id", F.xxhash64(text).alias("hash")).join(known, "doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("hash", "doc_id"))
+    few = rows.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE).select("doc_id", "hash", "toxic")  # 2 x SAMPLE rows
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash")).join(F.broadcast(few), ["doc_id", "hash"])
+    found = texts.select("toxic", "hash", "doc_id", "text").distinct().collect()
+    return [(r["text"], r["toxic"]) for r in sorted(found, key=tuple)]
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with columns score (double) and offsets (string: code points start:end of toxic words)."""
+    """docs as columns c0, c1, .. with score (double) and offsets (string: code points start:end of toxic words)."""
     spark = docs.sparkSession
     sample = training_sample(docs, labels)
     y = np.array([s[1] for s in sample], dtype=float)
     model = fit([s[0] for s in sample], y) if 0 < y.sum() < len(y) else None
-    shipped = spark.sparkContext.broadcast(model)  # at most the features of 2 x SAMPLE texts of SAMPLE_BYTES
+    shipped = spark.sparkContext.broadcast(model)  # at most the features of 2 x SAMPLE texts
     place = docs.columns.index("text")
-    width = len(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
 
     def run(batches):
         import pyarrow as pa
@@ -261,22 +274,22 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             found, where = np.zeros(b.num_rows), [""] * b.num_rows
             for i, j in runs(b.column(place), BATCH_BYTES) if m else []:
                 found[i:j], where[i:j] = scores([t or "" for t in b.column(place).slice(i, j - i).to_pylist()], m)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found), pa.array(where, pa.string())], names=[*[f"c{i}" for i in range(width)], "score", "offsets"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found), pa.array(where, pa.string())], names=[*names, "score", "offsets"])
 
-    numbered = docs.toDF(*[f"c{i}" for i in range(width)])
+    numbered = docs.toDF(*names)
     schema = T.StructType([*numbered.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("offsets", T.StringType())])
-    return numbered.mapInArrow(run, schema).toDF(*docs.columns, "__score", "__offsets")
+    return numbered.mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    out = scored(docs.select("doc_id", "text"), labels)
-    return out.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"), F.col("__offsets").alias("offsets"))
+    out = scored(docs.select("doc_id", "text"), labels).withColumnRenamed("c0", "doc_id")
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "offsets")
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the model rejects."""
-    return scored(docs, labels).filter(F.col("__score") < THRESHOLD).select(*docs.columns)
+    return scored(docs, labels).filter(F.col("score") < THRESHOLD).drop("score", "offsets").toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
