@@ -3,18 +3,26 @@
 A document's words (white-space separated, A-Z folded) give shingles of five words, each labelled with its occurrence
 number. For each of BANDS samples the PICK labelled shingles with the least hashes are taken and hashed in the order
 in which they stand in the text, so a sample agrees for texts of small edit distance. Texts that are equal as word
-sequences form one node. In a bucket (equal sample) members meet leaders first: a leader is the least
-member in one of ORDERS hash orders. A first pass verifies each member with the leader by the first order, which is
-the same in all buckets; members that fail anywhere meet the leaders by the other orders, which differ from band to
-band, in all their buckets. Then every bucket that still has two classes or more goes on with GROWTH, GROWTH^2, ..
-leaders, texts with many links first, until each pair of its texts is verified, in one class, or proven unlike by
-size or by counts of shingles per hash bin. So the classes are those that all pairs of all buckets give; a large
-bucket costs a few pairs per member while its members join, and up to all its pairs where they are unlike.
+sequences form one node. In a bucket (equal sample) each member is verified with the bucket's leader, the least
+member in an order that is the same in all buckets.
 
 Verification aligns the two sequences: equal labelled shingles whose places differ by no more than the band (the most
-that the required similarity allows) are chained by the longest increasing subsequence; with m in the chain the
-similarity is m / (n1 + n2 - m), and SIMILAR or more links the texts. Classes are connected components by least-label
-propagation with pointer jumping, every round written to the shared folder.
+that the required similarity allows) are chained by the longest increasing subsequence. The words under the chain's
+shingles are aligned; with m of them the similarity is m / (n1 + n2 - m) words, and SIMILAR or more links the texts.
+So a replaced word costs that word, not the five shingles over it.
+
+Buckets whose members are not yet of one class stay open. Their members first meet the member whose shingles are the
+most frequent among open texts (in a family of copies the one nearest to the original). The pairs of different
+classes that are left are settled without listing them. Of two similar texts either has at most `spare` words that
+are not aligned, a ninth of its words if both are of one length; so of any `spare` + 1 of its words one lies under a shared shingle.
+Each open text has the words whose shingles are rarest, in that order, and of two texts the one whose last such word
+is rarer asks with the shingles over them. It meets the classes that have such a shingle, and only the texts of those
+classes that have it are verified. What no rare shingle joins is proven unlike. So the classes are those that all
+pairs of all buckets give, and a shared passage or a family of copies costs rows in proportion to its members, not
+their square. Rarity is a count by hash cell (CELLS at most); it steers cost only.
+
+Classes are connected components by least-label propagation with pointer jumping, every round written to the shared
+folder.
 
 Edge cases: null texts and texts without words are one class each, by equal text only; texts of fewer than five words
 are one shingle; repeated rows share a class; doc_ids may be null or repeat (the class id is the class's least doc_id,
@@ -32,11 +40,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import join_texts, mix, runs, words
+from ._bytes import join_texts, mix, runs, window_extreme, words
 from .common import read, whole, written
 
-SHINGLE, PICK, BANDS, ORDERS, SIMILAR, BATCH_BYTES, BROADCAST_ROWS = 5, 3, 16, 4, 0.8, 4_000_000, 1_000_000
-BINS, GROWTH, SALTS = 128, 4, 16
+SHINGLE, PICK, BANDS, SIMILAR, BATCH_BYTES, BROADCAST_ROWS, CELLS, SLAB = 5, 3, 24, 0.8, 4_000_000, 1_000_000, 1 << 20, 200_000
 TOP = np.uint64(2**64 - 1)
 
 
@@ -97,19 +104,11 @@ def samples(labelled: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, text_key string, node binary, n long, bands array<long>, words binary, bins binary"
+SKETCH = "doc_id long, text_key string, node binary, n long, bands array<long>, words binary"
 
 
-def binned(labelled: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """For each text its number of labelled shingles in each of BINS ranges of hashes, 255 at most."""
-    n = len(start) - 1
-    row = np.repeat(np.arange(n), np.diff(start))
-    at = row * BINS + (labelled % np.uint64(BINS)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
-
-
-def sketch(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """Nodes, shingle counts, samples, packed 32-bit word hashes and counts per bin."""
+def sketch(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes]]:
+    """Nodes, shingle counts, samples and packed 32-bit word hashes."""
     data, offsets = join_texts(texts)
     hashes, _, _, first = words(data, offsets)
     labelled, start = shingles(hashes, first)
@@ -119,17 +118,17 @@ def sketch(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[
         own = slice(first[i], first[i + 1])
         nodes.append(md5(hashes[own].tobytes() if own.stop > own.start else t.encode("utf-8", "surrogatepass")).digest())
         packed.append(zlib.compress(short[own].tobytes(), 1))
-    return nodes, np.diff(start), samples(labelled, start), packed, binned(labelled, start)
+    return nodes, np.diff(start), samples(labelled, start), packed
 
 
 def sketched(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for i, j in runs(b.column(2), BATCH_BYTES):
-                nodes, n, bands, packed, bins = sketch(b.column(2).slice(i, j - i).to_pylist())
+                nodes, n, bands, packed = sketch(b.column(2).slice(i, j - i).to_pylist())
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
                 own = [c.slice(i, j - i) for c in b.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(nodes, pa.binary()), pa.array(n.astype(np.int64)), flat, pa.array(packed, pa.binary()), pa.array([x.tobytes() for x in bins], pa.binary())], names=["doc_id", "text_key", "node", "n", "bands", "words", "bins"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(nodes, pa.binary()), pa.array(n.astype(np.int64)), flat, pa.array(packed, pa.binary())], names=["doc_id", "text_key", "node", "n", "bands", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), whole("text").alias("text"))
     return rows.mapInArrow(run, SKETCH).withColumn("row", F.monotonically_increasing_id())
@@ -139,53 +138,76 @@ def text_key():
     return F.md5(whole("text").cast("binary")).alias("text_key")
 
 
-def chain(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Length of the longest chain of equal entries (each unique in its sequence) whose places differ by band at most."""
+def unpacked(blob: bytes) -> np.ndarray:
+    """Labelled shingles of packed word hashes."""
+    w = np.frombuffer(zlib.decompress(blob), dtype="<u4").astype(np.uint64)
+    return shingles(w, np.array([0, len(w)]))[0]
+
+
+def aligned(a: np.ndarray, b: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of the longest chain of equal entries (each unique in its sequence) whose places differ by band
+    at most."""
     order = np.argsort(b)
     at = np.minimum(np.searchsorted(b, a, sorter=order), len(b) - 1)
     place = order[at]
-    found = (b[place] == a) & (np.abs(place - np.arange(len(a))) <= band)
-    place = place[found]
+    here = np.flatnonzero((b[place] == a) & (np.abs(place - np.arange(len(a))) <= band))
+    place = place[here]
     if len(place) < 2 or (np.diff(place) > 0).all():
-        return len(place)
-    tails: list[int] = []
-    for p in place.tolist():
+        return here, place
+    tails, ends, before = [], [], []  # last place and entry of the best chain of each length; each entry's forerunner
+    for i, p in enumerate(place.tolist()):
         k = bisect_left(tails, p)
-        tails[k : k + 1] = [p]
-    return len(tails)
+        before.append(ends[k - 1] if k else -1)
+        tails[k : k + 1], ends[k : k + 1] = [p], [i]
+    picked, i = [], ends[-1]
+    while i >= 0:
+        picked.append(i)
+        i = before[i]
+    picked.reverse()
+    return here[picked], place[picked]
+
+
+def chain(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Length of the chain that `aligned` finds."""
+    return len(aligned(a, b, band)[0])
+
+
+def under(places: np.ndarray) -> int:
+    """Words under shingles that start at these places, in order."""
+    return int(np.minimum(np.diff(places), SHINGLE).sum()) + SHINGLE if len(places) else 0
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sequences of labelled shingles."""
-    n, m = len(a), len(b)
-    if not n or not m or min(n, m) < SIMILAR * max(n, m):
+    """Similarity of two texts from their labelled shingles; a sole shingle counts as SHINGLE words."""
+    if not len(a) or not len(b):
         return 0.0
-    least = SIMILAR * (n + m) / (1 + SIMILAR)  # shared shingles that SIMILAR asks for
-    shared = chain(a, b, int(max(n, m) - least) + 1)
-    return shared / (n + m - shared)
+    n, m = len(a) + SHINGLE - 1, len(b) + SHINGLE - 1
+    if min(n, m) < SIMILAR * max(n, m):
+        return 0.0
+    least = SIMILAR * (n + m) / (1 + SIMILAR)  # aligned words that SIMILAR asks for
+    one, two = aligned(a, b, int(max(n, m) - least) + 1)
+    both = min(under(one), under(two))
+    return both / (n + m - both)
 
 
-def verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     """pairs (a, b) of row numbers, with column similar. Only the word sequences that pairs name are moved."""
 
     def run(batches):
-        def labelled(blob: bytes) -> np.ndarray:
-            w = np.frombuffer(zlib.decompress(blob), dtype="<u4").astype(np.uint64)
-            return shingles(w, np.array([0, len(w)]))[0]
-
         for b in batches:
             last, kept = None, None
             similar = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if x != last:
-                    last, kept = x, labelled(x)
-                similar.append(similarity(kept, labelled(y)) >= SIMILAR)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                blob = x.as_py()
+                if blob != last:
+                    last, kept = blob, unpacked(blob)
+                similar.append(similarity(kept, unpacked(y.as_py())) >= SIMILAR)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(similar, pa.bool_())], names=["a", "b", "similar"])
 
     pairs = written(pairs, "met")
     named = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "named")
     small = named.count() <= BROADCAST_ROWS
-    own = written(sketches.select("row", "words").join(F.broadcast(named) if small else named, "row", "left_semi"), "sequences")
+    own = written(sequences.select("row", "words").join(F.broadcast(named) if small else named, "row", "left_semi"), "sequences")
     one, two = own.toDF("a", "words_a"), own.toDF("b", "words_b")
     return pairs.join(two, "b").join(one, "a").select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long, similar boolean")
 
@@ -205,80 +227,149 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def leaders(buckets: DataFrame, orders: range) -> DataFrame:
-    """A row for each bucket of two or more nodes and each order's leader: band, key, leader."""
-    by = lambda i: F.xxhash64(F.lit(i), "band", "order") if i else F.col("order")
-    least = [F.min(F.struct(by(i), "row")).alias(f"l{i}") for i in orders]
-    found = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *least).filter(F.col("n") > 1)
-    return found.select("band", "key", F.explode(F.array_distinct(F.array(*[F.col(f"l{i}.row") for i in orders]))).alias("leader"))
+def led(buckets: DataFrame) -> DataFrame:
+    """Rows of buckets of two texts or more, with column a: the bucket's leader, its first member by order."""
+    heads = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("order", "row")).alias("first"))
+    return buckets.join(heads.filter(F.col("size") > 1).select("key", F.col("first.row").alias("a")), "key")
 
 
-def met(buckets: DataFrame, led: DataFrame) -> DataFrame:
-    """Distinct pairs (a: leader, b: member)."""
-    return buckets.join(led, ["band", "key"]).filter(F.col("leader") != F.col("row")).select(F.col("leader").alias("a"), F.col("row").alias("b")).distinct()
+def cells_for(n: int) -> int:
+    """A power of two, about an eighth of n, from 2**10 to CELLS."""
+    return min(CELLS, 1 << max(10, (n // 8).bit_length()))
 
 
-def close(batches):
-    """Pairs whose counts per bin don't rule out SIMILAR: the counts differ by no more than the shingles do."""
-    for b in batches:
-        one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in ("bins_a", "bins_b"))
-        most = (b.column("n_a").to_numpy() + b.column("n_b").to_numpy()) * (1 - SIMILAR) / (1 + SIMILAR)
-        kept = np.abs(one - two).sum(axis=1) <= most + 1e-6
-        yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(kept)) for k in ("a", "b")], names=["a", "b"])
+def counted(texts: DataFrame, cells: int) -> np.ndarray:
+    """Number of shingles of all texts by hash cell."""
 
+    def run(batches):
+        total = np.zeros(cells, dtype=np.int64)
+        for b in batches:
+            for x in b.column(0):
+                total += np.bincount((unpacked(x.as_py()) % np.uint64(cells)).astype(np.int64), minlength=cells)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    found = texts.select("words").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    out = np.zeros(cells, dtype=np.int64)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out
 
-def settled(buckets: DataFrame, sketches: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a < b) and labels once no pair of different classes is left unverified in any bucket.
 
-    seen: verified pairs. Each text has a place from 0 to 1, nearer 0 the more links it has. In a round the texts
-    with a place under share / size of a bucket are its leaders and meet all texts of greater places, and share grows."""
-    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similar")
-    parts = [ordered(seen)]
-    members, done = None, 0
-    while True:
-        pairs = parts[0]
-        for p in parts[1:]:
-            pairs = pairs.unionByName(p)
-        links = written(pairs.filter("similar").select("a", "b").distinct(), "links")
-        labels = components(links)
-        if members is None:
-            degree = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("degree"))
-            uniform = F.pmod(F.xxhash64("order"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-            members = buckets.join(degree, "row", "left").select("row", "n", "band", "key", (uniform / F.pow(F.coalesce("degree", F.lit(0)) + 1, 2)).alias("place"))
-        now = members.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-        found = now.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = found.filter((F.col("size") > max(done, 1)) & (F.col("low") < F.col("high"))).select("band", "key", "size")
-        now = written(now.join(mixed, ["band", "key"]), "open", tidy=True)
-        if not now.limit(1).count():
-            return links, labels
-        members = now.drop("label", "size")
-        share = max(done, 1) * GROWTH
-        bins = sketches.select("row", "bins").join(now.select("row").distinct(), "row", "left_semi")
-        now = now.join(bins, "row")
-        leads = now.filter((F.col("place") < F.lit(share) / F.col("size")) & (F.col("place") >= F.lit(done) / F.col("size")))
-        one = leads.select("band", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("row", "n", "place", "label", "bins")])
-        two = now.select("band", "key", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), *[F.col(c).alias(f"{c}_b") for c in ("row", "n", "place", "label", "bins")])
-        later = F.struct("place_a", "row_a") < F.struct("place_b", "row_b")
-        alike = F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b")
-        left = two.join(one, ["band", "key", "salt"]).filter(later & alike & (F.col("label_a") != F.col("label_b")))
-        left = left.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"), "n_a", "n_b", "bins_a", "bins_b")
-        left = left.mapInArrow(close, "a long, b long").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        parts.append(ordered(written(verified(left, sketches), "pairs", tidy=True)))
-        done = share
+def spare(n, other):
+    """Words of a text of n shingles that may be left out of the alignment with a text of `other` shingles, if they are
+    similar; numbers or columns."""
+    return (n + SHINGLE - 1) - (n + other + 2 * (SHINGLE - 1)) * (SIMILAR / (1 + SIMILAR)) + 1e-6
+
+
+def rare(labelled: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The shingles over those words, rarest first, of which one at least is aligned with any similar text; for each the
+    rank of its rarest word; and what asking with them costs: the count of the last word that a text of the same length
+    asks for. A word is as rare as the most frequent shingle over it."""
+    n, edge = len(labelled) + SHINGLE - 1, np.zeros(SHINGLE - 1, dtype=np.int64)
+    of = counts[(labelled % np.uint64(len(counts))).astype(np.int64)]
+    most = window_extreme(np.concatenate([edge, of, edge]), SHINGLE, np.maximum)
+    least = np.argsort(most, kind="stable")[: int(n * (1 - SIMILAR) + 1e-6) + 1]
+    rank = np.full(n, n, dtype=np.int64)
+    rank[least] = np.arange(len(least))
+    over = window_extreme(rank, SHINGLE, np.minimum)
+    some = np.flatnonzero(over < n)
+    return labelled[some], over[some], int(most[least[int(spare(len(labelled), len(labelled)))]])
+
+
+def central(texts: DataFrame, counts) -> DataFrame:
+    """row and order of texts: the more frequent a text's shingles are, the lower. In a family of copies the text that
+    the others were made from, or the nearest to it, comes first."""
+
+    def run(batches):
+        for b in batches:
+            own = [unpacked(x.as_py()) for x in b.column(1)]
+            order = [-float(counts.value[(s % np.uint64(len(counts.value))).astype(np.int64)].mean()) for s in own]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(order, pa.float64())], names=["row", "order"])
+
+    return texts.select("row", "words").mapInArrow(run, "row long, order double")
+
+
+def spread(texts: DataFrame, counts, asks: bool) -> DataFrame:
+    """shingle, label, row, n and cost of all shingles of texts, or only the rare ones, with their rank."""
+    names = ["shingle", "label", "row", "n", "cost", *(["rank"] if asks else [])]
+
+    def run(batches):
+        for b in batches:
+            own, meta, size = [], [], 0
+            for x, *rest in zip(*(b.column(k) for k in ("words", "label", "row", "n")), strict=True):
+                s = unpacked(x.as_py())
+                few, rank, cost = rare(s, counts.value)
+                own.append((few, rank) if asks else (s,))
+                meta.append([*(v.as_py() for v in rest), cost])
+                size += len(own[-1][0])
+                if size >= SLAB:
+                    yield slab(own, meta)
+                    own, meta, size = [], [], 0
+            if own:
+                yield slab(own, meta)
+
+    def slab(own, meta):
+        each = [len(s[0]) for s in own]
+        own = [np.concatenate(c).view(np.int64) for c in zip(*own, strict=True)]
+        meta = [np.repeat(np.array(c, dtype=np.int64), each) for c in zip(*meta, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (own[0], *meta, *own[1:])], names=names)
+
+    return texts.select("words", "label", "row", "n").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def labelled_by(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with column label: their component's, or their own number."""
+    return rows.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+
+
+def left_open(buckets: DataFrame, labels: DataFrame, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, row and label of buckets with more than one class, and row, n, label and words of their members."""
+    now = labelled_by(buckets.select("key", "row"), labels)
+    mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") < F.col("high"))
+    now = written(now.join(mixed.select("key"), "key"), "mixed")
+    members = written(now.select("row", "label").distinct(), "members")
+    small = members.count() <= BROADCAST_ROWS
+    return now, written(sequences.select("row", "n", "words").join(F.broadcast(members) if small else members, "row"), "open")
+
+
+def unsettled(texts: DataFrame, counts) -> DataFrame:
+    """Pairs (a, b) of open texts of different classes that may be similar: all others are proven unlike. Of two texts
+    the one with the lower cost asks, so a text that lacks much of its family asks the few that share the rest."""
+    asked = spread(texts, counts, True).toDF("shingle", "label_a", "a", "n_a", "cost_a", "rank")
+    asked = asked.withColumn("order_a", F.struct("cost_a", "a"))
+    ends = [F.max(F.struct("cost", "row")).alias("last"), F.min("n").alias("low"), F.max("n").alias("high")]
+    classes_ = spread(texts, counts, False).groupBy("shingle", "label").agg(*ends)
+    within = lambda low, high: (low <= (F.col("n_a") + SHINGLE - 1) / SIMILAR) & (high >= (F.col("n_a") + SHINGLE - 1) * SIMILAR - SHINGLE)
+    hits = asked.join(classes_, "shingle").filter((F.col("label") != F.col("label_a")) & (F.col("order_a") < F.col("last")))
+    hits = hits.filter(within(F.col("low"), F.col("high")) & (F.col("rank") <= spare(F.col("n_a"), F.col("low"))))
+    hits = written(hits.select("shingle", "label", "a", "n_a", "order_a", "rank"), "hits")
+    wanted = written(hits.select("shingle", "label").distinct(), "wanted")
+    small = wanted.count() <= BROADCAST_ROWS
+    there = spread(texts, counts, False).join(F.broadcast(wanted) if small else wanted, ["shingle", "label"], "left_semi").withColumnRenamed("row", "b")
+    pairs = hits.join(there, ["shingle", "label"]).filter((F.col("order_a") < F.struct("cost", "b")) & within(F.col("n"), F.col("n")) & (F.col("rank") <= spare(F.col("n_a"), F.col("n"))))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two written tables: doc_id, text_key and node of each row; node, class_id, n_class, n_links, keep_id and keep_key
     (doc_id and text_key of the row to keep, the least of the class, null ids last)."""
-    sketches = written(sketched(docs), "sketches", tidy=True)
+    sketches = written(sketched(docs), "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
-    nodes = written(sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("n").alias("n"), least, F.count(F.lit(1)).alias("n_rows")), "nodes", tidy=True)
-    buckets = nodes.filter(F.col("n") > 0).select("row", "n", F.xxhash64("node").alias("order"), F.posexplode("bands").alias("band", "key"))
-    first = written(verified(met(buckets, leaders(buckets, range(1))), sketches), "pairs", tidy=True)
-    failed = first.filter(~F.col("similar")).select(F.col("b").alias("row")).distinct()
-    again = met(buckets.join(failed, "row", "left_semi"), leaders(buckets, range(1, ORDERS)))
-    more = written(verified(again.join(first, ["a", "b"], "left_anti"), sketches), "pairs", tidy=True)
-    links, labels = settled(buckets, sketches, first.unionByName(more))
+    nodes = written(sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("n").alias("n"), least, F.count(F.lit(1)).alias("n_rows")), "nodes")
+    buckets = nodes.filter(F.col("n") > 0).select("row", F.xxhash64("node").alias("order"), F.explode("bands").alias("key"))
+    shared = written(led(buckets), "shared")
+    pairs = shared.filter(F.col("a") != F.col("row")).select("a", F.col("row").alias("b")).distinct()
+    links = written(verified(pairs, sketches), "pairs").filter("similar")
+    mixed, texts = left_open(shared, components(links), sketches)
+    size = texts.agg(F.sum("n")).first()[0] or 0
+    counts = docs.sparkSession.sparkContext.broadcast(counted(texts, cells_for(size)))
+    again = led(mixed.join(central(texts, counts), "row")).join(texts.select(F.col("row").alias("a"), F.col("label").alias("label_a")), "a")
+    again = again.filter(F.col("label") != F.col("label_a")).select("a", F.col("row").alias("b")).distinct()
+    links = links.unionByName(written(verified(again, texts), "pairs").filter("similar"))
+    texts = left_open(mixed, components(links), texts)[1]
+    links = links.unionByName(written(verified(unsettled(texts, counts), texts), "pairs").filter("similar"))
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = labels.join(degree, "node").withColumnRenamed("node", "row")
     of = nodes.select("node", "row", "least", "n_rows").join(known, "row", "left")
@@ -296,10 +387,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: its least doc_id."""
-    kept = classes(docs)[1].select(F.col("class_id").alias("__id"), F.col("keep_key").alias("__key")).distinct()
-    rows = docs.withColumn("__text", text_key())
-    out = rows.join(kept, (rows["doc_id"].eqNullSafe(kept["__id"])) & (rows["__text"] == kept["__key"]))
-    return out.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    kept = classes(docs)[1].select("class_id", "keep_key").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("id"), text_key())
+    out = rows.join(kept, rows["id"].eqNullSafe(kept["class_id"]) & (rows["text_key"] == kept["keep_key"]))
+    return out.dropDuplicates(["id", "text_key"]).select("whole.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

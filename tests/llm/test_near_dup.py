@@ -93,3 +93,96 @@ def test_star_equals_brute_force(documents):
                 label[np.isin(label, (label[i], label[j]))] = min(label[i], label[j])
     rows = {r.doc_id: r.class_id for r in nd.near_duplicates(documents(texts)).collect()}
     assert [rows[i] for i in range(len(texts))] == label.tolist()
+
+
+def alignment(a, b):
+    """Brute force: words under shared five-word shingles of the longest common subsequence of labelled shingles."""
+
+    def labelled(t):
+        w, seen, out = t.lower().split(), {}, []
+        for i in range(len(w) - 4):
+            s = tuple(w[i : i + 5])
+            seen[s] = seen.get(s, 0) + 1
+            out.append((s, seen[s]))
+        return len(w), out
+
+    (n, x), (m, y) = labelled(a), labelled(b)
+    table = np.zeros((len(x) + 1, len(y) + 1), dtype=int)
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            table[i + 1, j + 1] = table[i, j] + 1 if p == q else max(table[i, j + 1], table[i + 1, j])
+    i, j, at = len(x), len(y), []
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            at.append((i, j))
+        elif table[i - 1, j] >= table[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    both = min(len({p + k for p in side for k in range(5)}) for side in ([p for p, _ in at], [q for _, q in at])) if at else 0
+    return both / (n + m - both)
+
+
+def edited(rng, words, share, tag):
+    w = list(words)
+    for k in rng.sample(range(len(w)), max(1, round(len(w) * share))):
+        w[k] = f"{tag}e{k}"
+    return w
+
+
+def test_similarity_equals_brute_force():
+    rng = random.Random(21)
+    for seed in range(60):
+        base = [f"b{rng.randrange(300)}" for _ in range(rng.randint(8, 90))]
+        a, b = (" ".join(edited(rng, base, rng.choice([0.02, 0.05, 0.1, 0.2]), f"{seed}{side}")) for side in "xy")
+        own = [nd.unpacked(nd.sketch([t])[3][0]) for t in (a, b)]
+        want = alignment(a, b)
+        got = nd.similarity(*own)
+        assert got == pytest.approx(want) if want >= nd.SIMILAR else got < nd.SIMILAR
+
+
+@pytest.mark.parametrize("share", [0.02, 0.05])
+def test_copies_with_replaced_words_are_caught(documents, share):
+    rng = random.Random(5)
+    texts = []
+    for i in range(120):
+        base = [f"{i}v{rng.randrange(10_000)}" for _ in range(rng.randint(40, 400))]
+        texts += [" ".join(base), " ".join(edited(rng, base, share, f"{i}c"))]
+    rows = {r.doc_id: r.class_id for r in nd.near_duplicates(documents(texts)).collect()}
+    caught = sum(rows[i] == rows[i + 1] for i in range(0, len(texts), 2))
+    assert caught >= 0.9 * 120 and len(set(rows.values())) >= 120
+
+
+def test_open_buckets_lose_no_pair(documents):
+    """Families whose copies are near the threshold, over a shared passage: the classes are those of all pairs that
+    share a sample."""
+    rng = random.Random(31)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        texts.append(" ".join(passage + [f"{i}o{k}" for k in range(rng.randint(4, 30))]))
+    base = [f"f{i}" for i in range(100)]
+    for i in range(60):
+        texts.append(" ".join(edited(rng, base, rng.choice([0.03, 0.08, 0.1, 0.14]), f"{i}z")))
+    bands = nd.sketch(texts)[2]
+    own = [nd.unpacked(x) for x in nd.sketch(texts)[3]]
+    label = np.arange(len(texts))
+    for i in range(len(texts)):
+        for j in np.flatnonzero((bands == bands[i]).any(axis=1)):
+            if label[i] != label[j] and nd.similarity(own[i], own[j]) >= nd.SIMILAR:
+                label[np.isin(label, (label[i], label[j]))] = min(label[i], label[j])
+    assert 5 < len(set(label.tolist())) < len(texts)
+    rows = {r.doc_id: r.class_id for r in nd.near_duplicates(documents(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == label.tolist()
+
+
+def test_very_long_text_and_clashing_columns(documents):
+    long = " ".join(f"l{i % 7000}" for i in range(60_000))
+    docs = documents([long, long + " more words here", "x y z", None])
+    from pyspark.sql import functions as F
+
+    odd = docs.withColumns({c: F.col("doc_id") for c in ("__id", "__key", "__text", "row", "label", "node")})
+    kept = nd.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
