@@ -268,7 +268,8 @@ def rare(labelled: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n, edge = len(labelled) + SHINGLE - 1, np.zeros(SHINGLE - 1, dtype=np.int64)
     of = counts[(labelled % np.uint64(len(counts))).astype(np.int64)]
     most = window_extreme(np.concatenate([edge, of, edge]), SHINGLE, np.maximum)
-    least = np.argsort(most, kind="stable")[: int(n * (1 - SIMILAR) + 1e-6) + 1]
+    # by powers of two, so that words of one passage keep their order and share their shingles
+    least = np.argsort(np.frexp(most.astype(np.float64))[1], kind="stable")[: int(n * (1 - SIMILAR) + 1e-6) + 1]
     rank = np.full(n, n, dtype=np.int64)
     rank[least] = np.arange(len(least))
     over = window_extreme(rank, SHINGLE, np.minimum)
