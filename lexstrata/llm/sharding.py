@@ -1,21 +1,24 @@
 """Sharding by fixed virtual slots.
 
 Records hash by their text into a fixed number of virtual slots, so equal texts share a slot. The bytes of each slot
-are aggregated (a table of slots x SUB rows, whatever the input), and a versioned map assigns slots to shards, the
-largest slot first to the lightest shard. A slot that holds more than 1/16 of a shard (one text that a third of all
-rows share, say) is split into SUB pieces by doc_id, each assigned on its own. `rebalance` edits a stored map: it
-moves as few slots as it needs.
+are aggregated, and a versioned map, kept as a table, assigns slots to shards. Version 1 deals slots out in their order,
+before any size is known; once the sizes are, `rebalance` edits it into version 2: slots leave the heaviest shard for
+the lightest until all are within TOLERANCE of the mean or no move helps, and all other slots stay where they are.
 
-Law: `bytes` (sizes near equal). The position in a shard is the row's rank in its slot plus the rows of the slots
-before it in the same shard; no window ever spans a shard.
+An entry of the map is a slot. Only where a slot holds more than 1/FINE of a shard it is entered as SUB parts by a
+second hash of the text, so that equal texts still stay together, and only a text whose copies exceed a whole shard is
+entered as PIECES parts by row. The map so has at most SLOTS + FINE x shards x SUB + shards x PIECES entries, whatever
+the input.
 
-Edge cases: null text counts as empty (size 8, crc32 0); a null doc_id hashes like a constant; repeated rows are
-separate records; an empty table gives an empty result; further columns are ignored.
+Law: `bytes` (sizes near equal). Places in a shard come from counts per (shard, range) and ranks within a range of
+about RANGE rows, so no window spans a shard, a slot or a text.
+
+Edge cases: null text counts as empty (size 8, crc32 0); doc_ids may be null or repeat; repeated rows are separate
+records; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import uuid
 
 from pyspark.sql import DataFrame
@@ -25,105 +28,119 @@ from pyspark.sql.window import Window
 
 from .common import shared_dir, whole, written
 
-SLOTS, SUB, HOT_SHARE = 4096, 64, 16
-MAP_SCHEMA = "version int, slot int, sub int, shard int, bytes long, rows long, base long"
+SLOTS, SUB, PIECES, FINE, TOLERANCE, RANGE = 4096, 64, 1024, 16, 0.001, 200_000
+MAP_SCHEMA = "version int, slot int, sub int, piece int, shard int, bytes long, rows long"
+#: slot, sub (-1: the whole slot), piece (-1: the whole sub), shard, bytes, rows
+Entry = tuple[int, int, int, int, int, int]
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The numbers of each row that sharding needs. The piece is a row's own, so the result must be written once."""
     text = whole("text")
     return docs.select(
         "doc_id",
         (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("virtual_slot"),
-        F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(SUB)).cast("int").alias("sub"),
+        F.pmod(F.xxhash64(text, F.lit(11)), F.lit(SUB)).cast("int").alias("sub"),
+        (F.rand(7) * PIECES).cast("int").alias("piece"),
     )
 
 
-def assign(loads: list[tuple[int, int, int, int]], shards: int) -> list[tuple[int, int, int, int, int]]:
-    """(slot, sub, bytes, rows) -> (slot, sub, shard, bytes, rows): the largest first, to the lightest shard."""
-    heap = [(0, s) for s in range(shards)]
-    out = []
-    for slot, sub, size, rows in sorted(loads, key=lambda x: (-x[2], x[0], x[1])):
-        load, shard = heapq.heappop(heap)
-        out.append((slot, sub, shard, size, rows))
-        heapq.heappush(heap, (load + size, shard))
-    return out
-
-
-def based(entries: list[tuple[int, int, int, int, int]], version: int) -> list[tuple]:
-    """Adds the version and, for each slot, the rows that stand before it in its shard."""
-    seen: dict[int, int] = {}
-    out = []
-    for slot, sub, shard, size, rows in sorted(entries):
-        out.append((version, slot, sub, shard, size, rows, seen.get(shard, 0)))
-        seen[shard] = seen.get(shard, 0) + rows
-    return out
+def dealt(slots: int, shards: int) -> dict[int, int]:
+    """Shards of slots before sizes are known."""
+    return {s: s * shards // slots for s in range(slots)}
 
 
-def rebalance(entries: list[tuple[int, int, int, int, int]], shards: int, tolerance: float = 0.01) -> list[tuple[int, int, int, int, int]]:
+def rebalance(entries: list[Entry], shards: int, tolerance: float = TOLERANCE) -> list[Entry]:
     """Edits a slot map for new loads or more shards: slots leave the heaviest shard for the lightest until each is
     within tolerance of the mean or no move helps. All other slots stay where they are."""
-    held: dict[int, list[tuple[int, int, int, int]]] = {s: [] for s in range(shards)}
-    for slot, sub, shard, size, rows in entries:
-        held.setdefault(shard, []).append((size, slot, sub, rows))
-    load = {s: sum(x[0] for x in v) for s, v in held.items()}
+    held: dict[int, list[Entry]] = {s: [] for s in range(shards)}
+    for e in entries:
+        held.setdefault(e[3], []).append(e)
+    load = {s: sum(e[4] for e in v) for s, v in held.items()}
+    lightest = lambda: min((s for s in load if s < shards), key=lambda s: (load[s], s))
     for gone in [s for s in held if s >= shards]:
-        for x in held.pop(gone):
-            to = min(range(shards), key=lambda s: (load[s], s))
-            held[to].append(x)
-            load[to] += x[0]
+        for e in sorted(held.pop(gone), key=lambda e: (-e[4], e)):
+            to = lightest()
+            held[to].append(e)
+            load[to] += e[4]
         load.pop(gone)
     mean = sum(load.values()) / shards
     while True:
-        high, low = max(load, key=lambda s: (load[s], -s)), min(load, key=lambda s: (load[s], s))
-        room = min((load[high] - load[low]) / 2, load[high] - mean)  # so no shard gives more than it has too much
-        movable = [x for x in held[high] if 0 < x[0] <= room]
+        high, low = max(load, key=lambda s: (load[s], -s)), lightest()
+        gap = load[high] - load[low]
+        room = min(0.95 * gap, load[high] - mean)  # no shard gives more than it has too much
+        movable = [e for e in held[high] if 0 < e[4] <= room]
         if load[high] <= mean * (1 + tolerance) and load[low] >= mean * (1 - tolerance) or not movable:
             break
-        x = max(movable)
+        # the slot that leaves both as near to each other as can be
+        x = min(movable, key=lambda e: (abs(gap - 2 * e[4]), e))
         held[high].remove(x)
         held[low].append(x)
-        load[high] -= x[0]
-        load[low] += x[0]
-    return [(slot, sub, s, size, rows) for s, v in held.items() for size, slot, sub, rows in v]
+        load[high] -= x[4]
+        load[low] += x[4]
+    return [(*e[:3], s, *e[4:]) for s, v in held.items() for e in v]
 
 
-def slot_loads(slotted: DataFrame, shards: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
-    """Loads of all slots, hot ones split (sub is -1 where whole), and the hot slots; at most SLOTS + 16 x shards x SUB rows."""
-    fine = written(slotted.groupBy("virtual_slot", "sub").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")), "slot-loads")
+def loads(slotted: DataFrame, shards: int) -> list[tuple[int, int, int, int, int]]:
+    """slot, sub, piece, bytes and rows of the map's entries: whole slots, parts of heavy ones by text, and parts by row
+    of texts that exceed a shard."""
+    sums = [F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")]
+    fine = written(slotted.groupBy("virtual_slot", "sub").agg(*sums), "slot-loads")  # SLOTS x SUB rows
     coarse = fine.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect()
-    limit = sum(r["bytes"] for r in coarse) / shards / HOT_SHARE
-    hot = sorted(r["virtual_slot"] for r in coarse if r["bytes"] > limit)
-    loads = [(r["virtual_slot"], -1, r["bytes"], r["rows"]) for r in coarse if r["bytes"] <= limit]
-    if hot:
-        loads += [tuple(r) for r in fine.filter(F.col("virtual_slot").isin(hot)).select("virtual_slot", "sub", "bytes", "rows").collect()]
-    return loads, hot
+    mean = sum(r["bytes"] for r in coarse) / shards
+    heavy = sorted(r["virtual_slot"] for r in coarse if r["bytes"] > mean / FINE)
+    out = [(r["virtual_slot"], -1, -1, r["bytes"], r["rows"]) for r in coarse if r["bytes"] <= mean / FINE]
+    if heavy:
+        parts = [tuple(r) for r in fine.filter(F.col("virtual_slot").isin(heavy)).select("virtual_slot", "sub", "bytes", "rows").collect()]
+        over = [(s, b) for s, b, size, _ in parts if size > mean]
+        out += [(s, b, -1, size, rows) for s, b, size, rows in parts if size <= mean]
+        if over:
+            whole_ = F.struct("virtual_slot", "sub").isin(*[F.struct(F.lit(s), F.lit(b)) for s, b in over])
+            out += [tuple(r) for r in slotted.filter(whole_).groupBy("virtual_slot", "sub", "piece").agg(*sums).collect()]
+    return out
+
+
+def placed(rows: DataFrame, shards: int) -> DataFrame:
+    """rows with column slot: their place in their shard, from 0. Ranges are by hash, about RANGE rows each."""
+    n = rows.count()
+    ranges = max(1, -(-n // (RANGE * shards)))
+    ranged = rows.withColumn("range", F.pmod(F.xxhash64("doc_id", "text_crc32", "piece"), F.lit(ranges)).cast("int"))
+    counts = ranged.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("shard", "range").orderBy("doc_id", "text_crc32", "size"))
+    return ranged.withColumn("rank", rank).join(counts.select("shard", "range", before.alias("before")), ["shard", "range"]).withColumn("slot", (F.col("before") + F.col("rank") - 1).cast(T.LongType()))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     spark = docs.sparkSession
-    slotted = with_slots(docs)
-    loads, hot = slot_loads(slotted, shards)
-    entries = based(assign(loads, shards), version=1)
+    slotted = written(with_slots(docs), "slotted")
+    first = dealt(SLOTS, shards)
+    version_1 = [(s, b, p, first[s], size, rows) for s, b, p, size, rows in loads(slotted, shards)]
+    version_2 = rebalance(version_1, shards)
     path = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
-    spark.createDataFrame(entries, MAP_SCHEMA).coalesce(1).write.parquet(path)
-    placed = spark.read.schema(MAP_SCHEMA).parquet(path)
-    keyed = slotted.withColumn("sub", F.when(F.col("virtual_slot").isin(hot), F.col("sub")).otherwise(F.lit(-1)) if hot else F.lit(-1))
-    order = Window.partitionBy("virtual_slot", "sub").orderBy("doc_id", "text_crc32", "size")
-    ranked = keyed.withColumn("rank", F.row_number().over(order))
-    # at most SLOTS + 16 x shards x SUB rows, whatever the input
-    m = F.broadcast(placed.select(F.col("slot").alias("virtual_slot"), "sub", "shard", "base", "version"))
-    return ranked.join(m, ["virtual_slot", "sub"]).select(
+    spark.createDataFrame([(v, *e) for v, m in ((1, version_1), (2, version_2)) for e in sorted(m)], MAP_SCHEMA).coalesce(1).write.parquet(path)
+    stored = spark.read.schema(MAP_SCHEMA).parquet(path)
+    at = lambda v, name: stored.filter(F.col("version") == v).select(F.col("slot").alias("virtual_slot"), F.col("sub").alias("in_sub"), F.col("piece").alias("in_piece"), F.col("shard").alias(name))
+    key = ["virtual_slot", "in_sub", "in_piece"]
+    both = at(2, "shard").join(at(1, "was_shard"), key)
+    parted = sorted({e[0] for e in version_2 if e[1] >= 0})
+    pieced = sorted({e[:2] for e in version_2 if e[2] >= 0})
+    in_sub = F.when(F.col("virtual_slot").isin(parted), F.col("sub")).otherwise(-1) if parted else F.lit(-1)
+    in_piece = F.when(F.struct("virtual_slot", "sub").isin(*[F.struct(F.lit(s), F.lit(b)) for s, b in pieced]), F.col("piece")).otherwise(-1) if pieced else F.lit(-1)
+    assigned = slotted.withColumns({"in_sub": in_sub, "in_piece": in_piece}).join(F.broadcast(both), key)  # the map's size is bounded
+    return placed(assigned, shards).select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("base") + F.col("rank") - 1).cast(T.LongType()).alias("slot"),
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
-        F.col("version").alias("map_version"),
+        F.lit(2).alias("map_version"),
+        "was_shard",
     )
 
 
