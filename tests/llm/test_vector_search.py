@@ -30,4 +30,21 @@ def test_equals_brute_force(spark, monkeypatch):
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     x, q = rng.integers(-90, 90, (200, 8)), rng.integers(-90, 90, (20, 8))
-    assert (vs.ApproximationFile(x).bounds(q) >= q @ x.T).all()
+    f = vs.ApproximationFile.of(x)
+    assert (f.bounds(q) >= q @ x.T).all() and (f.most(q) >= (q @ x.T).max(axis=1)).all()
+
+
+def test_huge_components_long_vectors_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(vs, "SAMPLE", 30)
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) * 2.0 ** rng.choice([0, 20, 23]) for _ in range(3)]) for i in range(200)]
+    rows += [(1000 + i, [rng.gauss(0, 1) for _ in range(5000)]) for i in range(60)]
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, row int, x string")
+    vectors = vs.written(vs.quantised(table), "v")
+    got = {}
+    for r in vs.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = {i: [int(np.floor(v * 64)) for v in x] for i, x in rows}
+    for q in [i for i in whole if i % 20 == 0]:
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], y, strict=True)), i) for i, y in whole.items() if i != q and len(y) == len(whole[q]))
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores[:20])]
