@@ -16,7 +16,7 @@ counts of counts up to K + 1.
 
 Edge cases: null text counts as empty (the end word alone); a null doc_id is in training; repeated rows count as
 often as they stand; without training rows every score is 0; an empty table gives an empty result; further columns
-are ignored. Words are told apart by 64-bit hashes; the vocabulary may hold 2**32 - 2 words.
+are ignored. Words are told apart by 64-bit hashes; numbers of words take 32 bits in messages, 64 from NARROW words on.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._bytes import join_texts, mix, words
 from .common import read, tasks, whole, written
 
-K, BATCH_BYTES = 5, 12_000_000
+K, BATCH_BYTES, PART_BATCHES, NARROW = 5, 12_000_000, 4, 2**32 - 1
 END = np.uint64(0x656E64)
 MESSAGE = "batch long, part int, kind string, a binary, b binary, c binary, d binary, e binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -132,10 +132,24 @@ class Batch:
         return count, number
 
 
+def distinct_pairs(context: np.ndarray, follow: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs by context, then follower; the first place of each and the number of each row's pair."""
+    if not wide:
+        keys, first, place = np.unique((context.astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64), return_index=True, return_inverse=True)
+        return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), first, place
+    order = np.lexsort((follow, context))
+    c, f = context[order], follow[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (c[1:] != c[:-1]) | (f[1:] != f[:-1])
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return c[new], f[new], order[new], place
+
+
 class Pairs:
     """Distinct contexts and pairs of a batch whose words training knows, in the order of their partitions."""
 
-    def __init__(self, batch: Batch, count: np.ndarray, number: np.ndarray, start: int, parts: int):
+    def __init__(self, batch: Batch, count: np.ndarray, number: np.ndarray, start: int, parts: int, wide: bool):
         ids = np.where(count > 0, number, -1)[batch.number]
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
@@ -149,12 +163,11 @@ class Pairs:
         self.context_bounds = np.searchsorted(np.sort(part), np.arange(parts + 1))
         both = (before >= 0) & (ids >= 0)
         self.known = both
-        pair = (before[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64)
-        keys, first, self.place = np.unique(pair, return_index=True, return_inverse=True)
-        self.counts = np.bincount(self.place, batch.trains[both], len(keys)).astype(np.uint32)
-        part = part_of((keys >> np.uint64(32)).astype(np.int64), parts)
+        of, follow, first, self.place = distinct_pairs(before[both], ids[both], wide)
+        self.counts = np.bincount(self.place, batch.trains[both], len(of)).astype(np.uint32)
+        part = part_of(of, parts)
         self.order = np.argsort(part, kind="stable")
-        self.keys = keys[self.order]
+        self.of, self.follow = of[self.order], follow[self.order]
         self.bounds = np.searchsorted(np.sort(part), np.arange(parts + 1))
         self.own_count = self.token_count[both][first][self.order]
 
@@ -228,11 +241,14 @@ def merge_words(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def ask_pairs(parts: int, base: np.ndarray, start: int):
+    wide = start >= NARROW
+    kind = "<u8" if wide else "<u4"
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         text = rows[rows["kind"] == "text"].iloc[0]
         batch = Batch(text)
         count, number = batch.answered(rows[rows["kind"] == "word"], base)
-        p = Pairs(batch, count, number, start, parts)
+        p = Pairs(batch, count, number, start, parts, wide)
         counts = p.counts[p.order]
         out = []
         for k in range(parts):
@@ -240,17 +256,17 @@ def ask_pairs(parts: int, base: np.ndarray, start: int):
             if not len(c):
                 continue
             own = slice(p.bounds[k], p.bounds[k + 1])
-            keys = p.keys[own]
-            of = np.searchsorted(c, (keys >> np.uint64(32)).astype(np.int64))
-            sizes = np.bincount(of, minlength=len(c))
-            follow = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
-            out.append((text["batch"], k, "ask", packed(np.diff(c, prepend=0).astype("<u4")), packed(sizes.astype("<u4")), packed(np.diff(follow, prepend=np.uint32(0))), packed(counts[own]), packed(p.own_count[own].astype("<u8"))))
+            sizes = np.bincount(np.searchsorted(c, p.of[own]), minlength=len(c))
+            out.append((text["batch"], k, "ask", packed(np.diff(c, prepend=0).astype(kind)), packed(sizes.astype("<u4")), packed(np.diff(p.follow[own], prepend=0).astype(kind)), packed(counts[own]), packed(p.own_count[own].astype("<u8"))))
         return frame(out)
 
     return run
 
 
-def merge_pairs(unigram: Unigram):
+def merge_pairs(unigram: Unigram, wide: bool):
+    kind = "<u8" if wide else "<u4"
+    numbers = lambda x: np.cumsum(unpacked(x, kind), dtype=kind).astype(np.int64)  # noqa: E731  differences wrap round
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """Answers (a: counts of the asked pairs, b: of each context: its count and its pairs of count 1..K, c: the sum
         of its seen words' own probabilities) and the table (a: contexts, b: pairs of each, c: followers, d: counts;
@@ -258,26 +274,24 @@ def merge_pairs(unigram: Unigram):
         part = int(rows["part"].iloc[0])
         asked = []
         for r in rows.itertuples():
-            c = np.cumsum(unpacked(r.a, "<u4").astype(np.int64))
-            sizes = unpacked(r.b, "<u4").astype(np.int64)
-            follow = np.cumsum(unpacked(r.c, "<u4"), dtype=np.uint32)
-            asked.append((c, (np.repeat(c, sizes).astype(np.uint64) << np.uint64(32)) | follow, unpacked(r.d, "<u4"), unpacked(r.e, "<u8")))
-        keys, first, place = np.unique(np.concatenate([x[1] for x in asked]), return_index=True, return_inverse=True)
-        total = np.bincount(place, np.concatenate([x[2] for x in asked]), len(keys)).astype(np.int64)
-        own = np.concatenate([x[3] for x in asked])[first].astype(np.int64)
+            c = numbers(r.a)
+            asked.append((c, np.repeat(c, unpacked(r.b, "<u4").astype(np.int64)), numbers(r.c), unpacked(r.d, "<u4"), unpacked(r.e, "<u8")))
+        whole_of, whole_follow, first, place = distinct_pairs(*(np.concatenate([x[k] for x in asked]) for k in (1, 2)), wide)
+        total = np.bincount(place, np.concatenate([x[3] for x in asked]), len(whole_of)).astype(np.int64)
+        own = np.concatenate([x[4] for x in asked])[first].astype(np.int64)
         contexts = np.unique(np.concatenate([x[0] for x in asked]))
         seen = np.flatnonzero(total > 0)
-        of = np.searchsorted(contexts, (keys[seen] >> np.uint64(32)).astype(np.int64))
+        of = np.searchsorted(contexts, whole_of[seen])
         n = len(contexts)
         of_context = np.stack([np.bincount(of, total[seen], n), *[np.bincount(of, total[seen] == r, n) for r in range(1, K + 1)]]).astype("<i8")
         lower = np.bincount(of, unigram(own[seen]), n)
         out, at = [], 0
-        for batch, (c, k, _, _) in zip(rows["batch"], asked, strict=True):
+        for batch, (c, k, *_) in zip(rows["batch"], asked, strict=True):
             mine = place[at : at + len(k)]
             at += len(k)
             where = np.searchsorted(contexts, c)
             out.append((batch, part, "pair", packed(total[mine].astype("<u8")), packed(of_context[:, where]), packed(lower[where]), None, None))
-        table = (packed(np.diff(contexts, prepend=0).astype("<u4")), packed(np.bincount(of, minlength=n).astype("<u4")), packed(np.diff((keys[seen] & np.uint64(0xFFFFFFFF)).astype("<u4"), prepend=np.uint32(0))), packed(total[seen].astype("<u4")), counts_of(total[seen]).tobytes())
+        table = (packed(np.diff(contexts, prepend=0).astype(kind)), packed(np.bincount(of, minlength=n).astype("<u4")), packed(np.diff(whole_follow[seen], prepend=0).astype(kind)), packed(total[seen].astype("<u4")), counts_of(total[seen]).tobytes())
         out.append((-1, part, "table", *table))
         return frame(out)
 
@@ -285,10 +299,12 @@ def merge_pairs(unigram: Unigram):
 
 
 def evaluate(parts: int, base: np.ndarray, start: int, distinct: int, unigram: Unigram, d: np.ndarray):
+    wide = start >= NARROW
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         batch = Batch(rows[rows["kind"] == "text"].iloc[0])
         count, number = batch.answered(rows[rows["kind"] == "word"], base)
-        p = Pairs(batch, count, number, start, parts)
+        p = Pairs(batch, count, number, start, parts, wide)
         replies = rows[rows["kind"] == "pair"].sort_values("part")
         own = unigram(p.token_count)
         probability = own.copy()
@@ -328,19 +344,19 @@ def evaluate(parts: int, base: np.ndarray, start: int, distinct: int, unigram: U
 def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = written(batched(docs), "batches", tidy=True)
-    parts = tasks(spark)
-    by_word = written(texts.mapInArrow(ask_words(parts), MESSAGE).groupBy("part").applyInPandas(merge_words, MESSAGE), "words", tidy=True)
+    # a part, which one task holds at a time, for the words of a few batches; each is a shuffle partition of its own
+    parts = max(tasks(spark), texts.count() // PART_BATCHES)
+    by_part = lambda asks: asks.repartitionById(parts, "part").groupBy("part")
+    by_word = written(by_part(texts.mapInArrow(ask_words(parts), MESSAGE)).applyInPandas(merge_words, MESSAGE), "words", tidy=True)
     tables = by_word.filter("kind = 'table'").select("part", "c", "d").collect()  # a few numbers for each partition
     sums = {r["part"]: np.frombuffer(r["c"], "<i8") for r in tables}
     tokens, distinct = (int(sum(s[k] for s in sums.values())) for k in (0, 1))
     base = np.concatenate([[0], np.cumsum([int(sums[p][2]) if p in sums else 0 for p in range(parts)])])
     start = int(base[-1])
-    if start >= 2**32 - 1:
-        raise ValueError("the vocabulary has more than 2**32 - 2 words")
     unigram = Unigram(tokens, sum((np.frombuffer(r["d"], "<i8") for r in tables), np.zeros(K + 2, dtype=np.int64)))
     words_of = by_word.filter("kind = 'word'")
     asks = texts.unionByName(words_of).groupBy("batch").applyInPandas(ask_pairs(parts, base, start), MESSAGE)
-    by_pair = written(asks.groupBy("part").applyInPandas(merge_pairs(unigram), MESSAGE), "pairs", tidy=True)
+    by_pair = written(by_part(asks).applyInPandas(merge_pairs(unigram, start >= NARROW), MESSAGE), "pairs", tidy=True)
     of = by_pair.filter("kind = 'table'").select("e").collect()  # K + 2 numbers for each partition
     d = discounts(sum((np.frombuffer(r["e"], "<i8") for r in of), np.zeros(K + 2, dtype=np.int64)))
     rows = texts.unionByName(words_of).unionByName(by_pair.filter("kind = 'pair'"))

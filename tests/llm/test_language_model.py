@@ -69,3 +69,14 @@ def test_odd_tables(documents):
     assert lm.scored(documents(["a"]).limit(0)).collect() == []
     only = lm.scored(documents([(None, "a b"), (None, None)])).collect()
     assert [(r.doc_id, r.held_out) for r in only] == [(None, False)] * 2 and all(np.isfinite(r.score) for r in only)
+
+
+def test_wide_numbers_long_texts_and_clashing_names(documents, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(0, 50))) for _ in range(60)] + ["long " * 200_000, None]
+    df = documents(texts)
+    odd = df.withColumns({c: df["text"] for c in ("part", "batch", "kind", "a", "held", "score")})
+    narrow = sorted(tuple(r) for r in lm.scored(odd).collect())
+    assert len(narrow) == len(texts) and max(r[2] for r in narrow) == 200_001
+    monkeypatch.setattr(lm, "NARROW", 0)
+    assert sorted(tuple(r) for r in lm.scored(odd).collect()) == narrow
