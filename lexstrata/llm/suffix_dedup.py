@@ -41,7 +41,7 @@ from ._bytes import BASE_INVERSE, join_texts, mix, powers, prefix_hash, span_has
 from .common import read, tasks, whole, written
 from .language_model import ARROW, MESSAGE, frame, packed, packed_text, parts_of, unpacked, unpacked_text
 
-LENGTH, K, SHARD_BYTES, CHUNK, HOT = 400, 100, 2_000_000, 1 << 16, 16384
+LENGTH, K, SHARD_BYTES, PART_SHARDS, CHUNK, HOT = 400, 100, 2_000_000, 8, 1 << 16, 16384
 WINDOW, LEFT = LENGTH - K + 1, LENGTH - K
 NONE = np.uint64(2**64 - 1)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -369,11 +369,13 @@ def remove(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    parts = 2 * tasks(docs.sparkSession)
     shards = written(sharded(docs), "shards", tidy=True)
-    codes = written(shards.mapInArrow(ask_anchors(parts), MESSAGE).groupBy("part").applyInPandas(judge_anchors(HOT), MESSAGE), "codes", tidy=True)
+    # a part, which one task holds at a time, for the anchors of a few shards; each is a shuffle partition of its own
+    parts = max(2 * tasks(docs.sparkSession), shards.count() // PART_SHARDS)
+    by_part = lambda asks: asks.repartitionById(parts, "part").groupBy("part")
+    codes = written(by_part(shards.mapInArrow(ask_anchors(parts), MESSAGE)).applyInPandas(judge_anchors(HOT), MESSAGE), "codes", tidy=True)
     both = shards.unionByName(codes)
-    found = written(both.groupBy("batch").applyInPandas(send(parts), MESSAGE).groupBy("part").applyInPandas(merge, MESSAGE), "found", tidy=True)
+    found = written(by_part(both.groupBy("batch").applyInPandas(send(parts), MESSAGE)).applyInPandas(merge, MESSAGE), "found", tidy=True)
     return both.unionByName(found).groupBy("batch").applyInPandas(remove, RESULT)
 
 

@@ -80,3 +80,18 @@ def test_suffix_order():
             assert common[i] == next((k for k in range(16) if a[k] != b[k]), 16)
         else:
             assert common[i] == -1
+
+
+def test_very_long_texts_and_clashing_names(documents):
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    shared = " ".join(word() for _ in range(400))
+    long = " ".join(word() for _ in range(150_000))  # beyond half a shard
+    texts = [long + shared + long[:50], "x " + shared + " y", long[1000:3000], "short", None]
+    df = documents(texts)
+    odd = df.withColumns({c: df["text"] for c in ("part", "batch", "kind", "a", "n_bytes")})
+    got = {r.doc_id: tuple(r)[1:] for r in sd.deduplicated(odd).collect()}
+    m, n = len(shared), len(texts[0])
+    keep = long[:1000] + long[3000:] + long[:50]
+    assert got[0][:3] == (n, m + 2000, 2) and got[0][3] == sha256(keep.encode()).hexdigest()
+    assert got[1][:3] == (m + 4, m, 1) and got[2][:3] == (2000, 2000, 1) and got[3][1] == got[4][1] == 0
