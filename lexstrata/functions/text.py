@@ -101,11 +101,12 @@ def term_count(x: Column | str, terms: Sequence[str]) -> Column:
 
 
 def shingles(words: Column, n: int) -> Column:
-    """Hashes of all runs of n words (STR-17)."""
-    count = F.size(words) - (n - 1)
+    """Hashes of all runs of n words (STR-17). The runs are n shifted arrays side by side, so the words are hashed n
+    times in all and not once a run."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    made = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, n)))
-    return F.when(count > 0, made).otherwise(F.array().cast("array<bigint>"))
+    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    side = F.arrays_zip(*[F.slice(hashes, k + 1, count).alias(f"w{k}") for k in range(n)])
+    return F.transform(side, lambda r: F.xxhash64(*[r[f"w{k}"] for k in range(n)]))
 
 
 def script_ratio(x: Column | str) -> Column:
@@ -120,13 +121,15 @@ def slug(x: Column | str) -> Column:
 
 
 def alpha_suffix(n: Column | str) -> Column:
-    """A..Z, AA.. for 1, 2, ..; up to three letters (STR-22)."""
-    m = col(n).cast("long") - 1
-    letter = lambda v: F.char(v + 65)
-    one, two, three = letter(m), F.concat(letter(F.floor(m / 26) - 1), letter(m % 26)), None
-    k = m - 26 - 676
-    three = F.concat(letter(F.floor(k / 676)), letter(F.floor(k / 26) % 26), letter(k % 26))
-    return F.when(m < 26, one).when(m < 702, two).otherwise(three)
+    """A..Z, AA.. for 1, 2, ..: letters as digits without a zero, last one first (STR-22)."""
+    start = F.struct(col(n).cast("long").alias("left"), F.lit("").alias("mark"))
+
+    def step(a: Column, _: Column) -> Column:
+        letter = F.concat(F.char((a["left"] - 1) % 26 + 65), a["mark"])
+        more = F.struct(F.floor((a["left"] - 1) / 26).alias("left"), letter.alias("mark"))
+        return F.when(a["left"] > 0, more).otherwise(a)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(13)), start, step, lambda a: a["mark"])
 
 
 def replace_exact(x: Column | str, old: str, new: str, times: int) -> Column:

@@ -148,3 +148,15 @@ def multi_key_groups(df: DataFrame, row: str, keys: Sequence[str]) -> DataFrame:
     long = reduce(DataFrame.unionByName, parts).filter(F.col("value").isNotNull() & (F.col("value") != ""))
     shared = long.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return long.join(shared, ["key", "value"]).groupBy(row).agg(F.count(F.lit(1)).alias("n_keys"), F.array_join(F.sort_array(F.collect_list("key")), ",").alias("keys"))
+
+
+def numbered(df: DataFrame, *order: str, bucket: Column | None = None) -> DataFrame:
+    """df with column number: places from 1 in the order of columns. Rows fall into ranges by `bucket`, which must not
+    fall as the order rises (by default the first four characters of the first column, a hex hash); counts per range and
+    ranks within a range give the number, so no window spans the table (PRJ-14, WIN-8)."""
+    rows = df.withColumn("__range", F.substring(order[0], 1, 4) if bucket is None else bucket)
+    counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    placed = rows.withColumn("__rank", rank).join(counts.select("__range", before.alias("__before")), "__range")
+    return placed.withColumn("number", F.col("__before") + F.col("__rank")).drop("__range", "__rank", "__before")

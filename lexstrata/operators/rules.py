@@ -233,10 +233,11 @@ def language_sanity(text: Column | str, expected: str) -> Column:
 
 
 def repeated_sentences(text: Column | str) -> Column:
-    """Sentences of 15 characters or more that stand more than once, sorted (DED-11)."""
+    """Sentences of 15 characters or more that stand more than once, sorted (DED-11): neighbours that are equal in order."""
     parts = F.transform(F.split(F.coalesce(col(text), F.lit("")), r"(?<=[.!?])\s+(?!\d)|\n+"), lambda s: F.lower(squeeze(s)))
-    long = F.filter(parts, lambda s: F.length(s) >= 15)
-    return F.array_sort(F.filter(F.array_distinct(long), lambda s: F.size(F.filter(long, lambda x: x == s)) > 1))
+    sorted_ = F.array_sort(F.filter(parts, lambda s: F.length(s) >= 15))
+    again = F.zip_with(sorted_, F.slice(sorted_, 2, F.greatest(F.size(sorted_) - 1, F.lit(0))), lambda x, y: F.when(x == y, x))
+    return F.array_distinct(F.array_compact(again))
 
 
 def bilingual(ko: Column | str, en: Column | str, language: Column | str) -> Column:

@@ -33,14 +33,14 @@ def _(t):
     return t.events.select("event_id", F.coalesce(F.when(F.col("value") > 50, F.col("event_type")), F.lit("")).alias("kind"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-@query("prj6_explode_words", "SELECT doc_id, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS pos, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ')[1:20] AS w FROM documents)")
+@query("prj6_explode_words", "SELECT doc_id, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS pos, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
 def _(t):
-    return t.documents.select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 20)).alias("pos", "word")).withColumn("pos", F.col("pos").cast("long"))
+    return t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("prj7_filtered_explode_join", "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')[1:30]) AS word FROM documents), v AS (SELECT item_id, unnest(string_split(text, ' ')[1:30]) AS word FROM benchmark) SELECT doc_id, item_id, count(*) AS n FROM (SELECT DISTINCT * FROM w WHERE length(word) >= 8) JOIN (SELECT DISTINCT * FROM v WHERE length(word) >= 8) USING (word) GROUP BY ALL")
+@query("prj7_filtered_explode_join", "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents), v AS (SELECT item_id, unnest(string_split(text, ' ')) AS word FROM benchmark) SELECT doc_id, item_id, count(*) AS n FROM (SELECT DISTINCT * FROM w WHERE length(word) >= 8) JOIN (SELECT DISTINCT * FROM v WHERE length(word) >= 8) USING (word) GROUP BY ALL")
 def _(t):
-    words = lambda d, k: d.select(k, F.explode(F.slice(F.split("text", " "), 1, 30)).alias("word")).filter(F.length("word") >= 8).distinct()
+    words = lambda d, k: d.select(k, F.explode(F.split("text", " ")).alias("word")).filter(F.length("word") >= 8).distinct()
     return words(t.documents, "doc_id").join(words(t.benchmark, "item_id"), "word").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -76,11 +76,10 @@ def _(t):
     return op.changed_fields(before, after, "c_custkey")
 
 
-@query("prj14_blinding", "SELECT 'PAIR_' || lpad(CAST(row_number() OVER (ORDER BY sha256('blind|' || doc_id)) AS VARCHAR), 4, '0') AS public_id, n_chars FROM documents WHERE doc_id < 500")
+@query("prj14_blinding", "SELECT printf('PAIR_%04d', row_number() OVER (ORDER BY sha256('blind|' || doc_id), n_chars)) AS public_id, n_chars FROM documents")
 def _(t):
-    rows = t.documents.filter("doc_id < 500").select("n_chars", op.hash_order("doc_id", "blind").alias("h"))
-    n = F.row_number().over(Window.orderBy("h")).cast("string")
-    return rows.select(F.concat(F.lit("PAIR_"), F.lpad(n, 4, "0")).alias("public_id"), "n_chars")
+    rows = t.documents.select("n_chars", op.hash_order("doc_id", "blind").alias("h"))
+    return op.numbered(rows, "h", "n_chars").select(F.format_string("PAIR_%04d", "number").alias("public_id"), "n_chars")
 
 
 @query("prj15_flatten_validated", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
@@ -101,9 +100,9 @@ def _(t):
     return t.orders.filter("o_orderstatus IN ('F', 'P') AND o_orderdate BETWEEN TIMESTAMP_NTZ '1994-01-01' AND TIMESTAMP_NTZ '1996-12-31'").select("o_orderkey", "o_orderstatus")
 
 
-@query("flt2_regex_over_columns", "SELECT page_id FROM pages WHERE regexp_matches(coalesce(url, '') || ' ' || coalesce(substr(html, 1, 300), ''), '(?i)casino|pills|the')")
+@query("flt2_regex_over_columns", "SELECT page_id FROM pages WHERE regexp_matches(coalesce(url, '') || ' ' || coalesce(html, ''), '(?i)casino|pills|the')")
 def _(t):
-    return t.pages.filter(F.concat_ws(" ", F.coalesce("url", F.lit("")), F.substring("html", 1, 300)).rlike("(?i)casino|pills|the")).select("page_id")
+    return t.pages.filter(F.concat_ws(" ", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).rlike("(?i)casino|pills|the")).select("page_id")
 
 
 RULES_SQL = "list_filter([CASE WHEN NOT (n_chars >= 200) THEN 'too_short' END, CASE WHEN NOT (n_chars <= 8000) THEN 'too_long' END, CASE WHEN NOT (lang IN ('en', 'de')) THEN 'language_excluded' END, CASE WHEN contains(text, '@') THEN 'has_address' END], lambda x: x IS NOT NULL)"
@@ -343,10 +342,10 @@ def _(t):
     return t.orders.groupBy("o_custkey").agg(F.max_by("o_orderpriority", -F.substring("o_orderpriority", 1, 1).cast("int")).alias("worst"))
 
 
-@query("agg15_concat_arrays", "SELECT source, len(list_distinct(flatten(list(w)))) AS n_words FROM (SELECT source, string_split(substr(text, 1, 200), ' ') AS w FROM documents) GROUP BY 1")
+@query("agg15_concat_arrays", "SELECT source, count(DISTINCT w) AS n_words FROM (SELECT source, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY 1")
 def _(t):
     # distinct words are counted as rows; no group's words meet in one array
-    return t.documents.select("source", F.explode(F.split(F.substring("text", 1, 200), " ")).alias("w")).groupBy("source").agg(F.count_distinct("w").alias("n_words"))
+    return t.documents.select("source", F.explode(F.split("text", " ")).alias("w")).groupBy("source").agg(F.count_distinct("w").alias("n_words"))
 
 
 @query("agg16_status_rollup", "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag IS NULL) THEN 'missing' WHEN bool_or(l_returnflag = 'R') THEN 'fail' WHEN bool_or(l_discount > 0.08) THEN 'warning' ELSE 'pass' END AS status FROM lineitem GROUP BY 1")
@@ -419,10 +418,10 @@ def _(t):
 
 @query("win8_gap_ranges", "WITH d AS (SELECT DISTINCT doc_id FROM labels), g AS (SELECT doc_id, doc_id - row_number() OVER (ORDER BY doc_id) AS g FROM d) SELECT min(doc_id) AS first, max(doc_id) AS last, count(*) AS n FROM g GROUP BY g")
 def _(t):
-    # an island starts where the id before is missing; starts alone are ranked by a running join-free minimum
+    # ids less their number are the same within an island; numbers come from counts per range of ids, not from one window
     d = t.labels.select("doc_id").distinct()
-    n = F.row_number().over(Window.orderBy("doc_id"))
-    return d.withColumn("g", F.col("doc_id") - n).groupBy("g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).drop("g")
+    d = op.numbered(d, "doc_id", bucket=F.floor(F.col("doc_id") / 4096))
+    return d.groupBy((F.col("doc_id") - F.col("number")).alias("g")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).drop("g")
 
 
 @query("win9_sliding_windows", "WITH w AS (SELECT doc_id, unnest(generate_series(0, CAST(length(text) AS BIGINT) - 1, 1800)) AS start, text FROM documents WHERE length(text) > 0), s AS (SELECT doc_id, start, length(x) - length(replace(x, 'th', '')) AS score FROM (SELECT doc_id, start, substr(text, start + 1, 2200) AS x FROM w)) SELECT doc_id, start, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start) <= 6")
@@ -439,9 +438,9 @@ def _(t):
     return t.conversations.select("conv_id", "turn", F.max((F.col("role") == "user").cast("int")).over(w).alias("near_user"))
 
 
-@query("srt1_mixed_sort", "SELECT c_custkey, c_acctbal, c_mktsegment = 'BUILDING' AS b FROM customer ORDER BY b DESC, c_acctbal, c_custkey LIMIT 50")
+@query("srt1_mixed_sort", "SELECT c_custkey, c_acctbal, c_mktsegment = 'BUILDING' AS b FROM customer ORDER BY b DESC, c_acctbal, c_custkey")
 def _(t):
-    return t.customer.select("c_custkey", "c_acctbal", (F.col("c_mktsegment") == "BUILDING").alias("b")).orderBy(F.desc("b"), "c_acctbal", "c_custkey").limit(50)
+    return t.customer.select("c_custkey", "c_acctbal", (F.col("c_mktsegment") == "BUILDING").alias("b")).orderBy(F.desc("b"), "c_acctbal", "c_custkey")
 
 
 @query("srt2_priority_then_longest", "SELECT conv_id, role, CAST(length(text) AS INT) AS n FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END, length(text) DESC, text, turn) = 1")
@@ -476,13 +475,19 @@ def _(t):
     return a.intersect(b).select(F.lit("both").alias("what"), "k").unionByName(a.subtract(b).select(F.lit("only").alias("what"), "k"))
 
 
-@query("set6_jaccard_distance", "WITH w AS (SELECT doc_id, list_distinct(string_split(lower(substr(text, 1, 300)), ' ')) AS a, list_distinct(string_split(lower(substr(text, 301, 300)), ' ')) AS b FROM documents) SELECT doc_id, round(1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS distance FROM w")
+@query("set6_jaccard_distance", "WITH w AS (SELECT doc_id, list_distinct(string_split(lower(substr(text, 1, length(text) // 2)), ' ')) AS a, list_distinct(string_split(lower(substr(text, length(text) // 2 + 1)), ' ')) AS b FROM documents) SELECT doc_id, round(1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS distance FROM w")
 def _(t):
-    w = lambda i: F.array_distinct(F.split(F.lower(F.substring("text", i, 300)), " "))
-    return t.documents.select("doc_id", F.round(sc.jaccard_distance(w(1), w(301)), 6).alias("distance"))
+    # the words of a text's halves
+    half = (F.length("text") / 2).cast("int")
+    a, b = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    halves = t.documents.select("doc_id", *[F.array_distinct(F.split(F.lower(x), " ")).alias(n) for n, x in (("a", a), ("b", b))])
+    return halves.select("doc_id", F.round(sc.jaccard_distance(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
-@query("set3_subset", "WITH w AS (SELECT doc_id, list_distinct(string_split(substr(text, 1, 60), ' ')) AS a, list_distinct(string_split(substr(text, 1, 600), ' ')) AS b FROM documents) SELECT doc_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS inside, list_sort(a) = list_sort(b) AS same FROM w")
+@query("set3_subset", "WITH w AS (SELECT doc_id, list_distinct(string_split(substr(text, 1, length(text) // 2), ' ')) AS a, list_distinct(string_split(substr(text, length(text) // 2 + 1), ' ')) AS b FROM documents) SELECT doc_id, len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS inside, list_sort(a) = list_sort(b) AS same FROM w")
 def _(t):
-    a, b = (F.array_distinct(F.split(F.substring("text", 1, n), " ")) for n in (60, 600))
-    return t.documents.select("doc_id", (F.size(F.array_except(a, b)) == 0).alias("inside"), sc.same_set(a, b).alias("same"))
+    # whether the second half of a text has no word that the first lacks
+    half = (F.length("text") / 2).cast("int")
+    a, b = F.split(F.substring("text", F.lit(1), half), " "), F.split(F.substring("text", half + 1, F.length("text")), " ")
+    halves = t.documents.select("doc_id", F.array_distinct(a).alias("a"), F.array_distinct(b).alias("b"))
+    return halves.select("doc_id", (F.size(F.array_except("b", "a")) == 0).alias("inside"), sc.same_set(F.col("a"), F.col("b")).alias("same"))
\ No newline at end of file

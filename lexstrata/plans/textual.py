@@ -73,9 +73,9 @@ def _(t):
     return t.pages.select("page_id", tx.slug("url").alias("slug"))
 
 
-@query("str22_alpha", "SELECT p_partkey, CASE WHEN p_partkey <= 26 THEN chr(CAST(64 + p_partkey AS INT)) ELSE chr(CAST(64 + (p_partkey - 1) // 26 AS INT)) || chr(CAST(65 + (p_partkey - 1) % 26 AS INT)) END AS mark FROM part WHERE p_partkey <= 700")
+@query("str22_alpha", "WITH RECURSIVE m AS (SELECT p_partkey, p_partkey AS k, '' AS mark FROM part UNION ALL SELECT p_partkey, (k - 1) // 26, chr(CAST(65 + (k - 1) % 26 AS INT)) || mark FROM m WHERE k > 0) SELECT p_partkey, mark FROM m WHERE k = 0")
 def _(t):
-    return t.part.filter("p_partkey <= 700").select("p_partkey", tx.alpha_suffix("p_partkey").alias("mark"))
+    return t.part.select("p_partkey", tx.alpha_suffix("p_partkey").alias("mark"))
 
 
 @query("str24_secrets", "SELECT doc_id, regexp_matches(text, '[0-9a-f]{32,}') AS had, md5(regexp_replace(text, '[0-9a-f]{32,}', '[REDACTED]', 'g')) AS h FROM documents")
