@@ -80,9 +80,13 @@ NUMBER_WORDS = (
     ("seven", "7"), ("seventh", "7"), ("eight", "8"), ("eighth", "8"), ("nine", "9"), ("ninth", "9"), ("ten", "10"), ("tenth", "10"), ("eleven", "11"), ("eleventh", "11"), ("twelve", "12"), ("twelfth", "12"),
 )
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-_COUNTER_END = r"(?:에는?|으로|에서|은|을|를|이|가|의|와|과|로|만|도)?(?=\s|$|[.,])"
-KOREAN_ONE = r"한쪽|한\s+(?:방향|대|명|개|곳|차례|번)" + _COUNTER_END
-KOREAN_COUNTERS = tuple((v, rf"(?<![가-힣]){w}\s+(?:명|개|대|곳|차례|번)" + _COUNTER_END) for v, w in (("1", "한"), ("2", "두"), ("3", "세"), ("4", "네")))
+KOREAN_ONE = r"한쪽|한\s+(?:방향|대|명|개|곳|차례|번)(?:에는?|으로|에서|은|을|를|이|가|의|와|과|로|만|도)?(?=\s|$|[.,])"
+KOREAN_COUNTERS = (
+    ("1", r"(?<![가-힣])한\s+(?:명|개|대|곳|차례|번)(?:에는?|으로|에서|은|을|를|이|가|의|와|과|로|만|도)?(?=\s|$|[.,])"),
+    ("2", r"(?<![가-힣])두\s+(?:명|개|대|곳|차례|번)(?:에는?|으로|에서|은|을|를|이|가|의|와|과|로|만|도)?(?=\s|$|[.,])"),
+    ("3", r"(?<![가-힣])세\s+(?:명|개|대|곳|차례|번)(?:에는?|으로|에서|은|을|를|이|가|의|와|과|로|만|도)?(?=\s|$|[.,])"),
+    ("4", r"(?<![가-힣])네\s+(?:명|개|대|곳|차례|번)(?:에는?|으로|에서|은|을|를|이|가|의|와|과|로|만|도)?(?=\s|$|[.,])"),
+)
 OTHERS = r"(?i)\band\s+(zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\s+others\b"
 NEGATION = {
     "ko": r"않|아니|없|못",

@@ -112,3 +112,30 @@ def js_divergence(p: Column, q: Column) -> Column:
     term = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
     parts = F.zip_with(share(p), share(q), lambda a, b: (term(a, (a + b) / 2) + term(b, (a + b) / 2)) / 2)
     return F.when((total(p) <= 0) & (total(q) <= 0), F.lit(0.0)).otherwise(total(parts))
+
+
+def first_seen(values: Column) -> Column:
+    """Distinct values in order of first appearance, without nulls and empties (AGG-22)."""
+    return F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != "")))
+
+
+def let(values: dict[str, Column], body) -> Column:
+    """body of a struct of values, each computed once however often the body names it."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+
+
+def minimum_target(n: Column) -> Column:
+    """max(n + 2, ceil(1.5 n)) (SMP-15)."""
+    return F.greatest(n + 2, F.ceil(n * 1.5)).cast("long")
+
+
+def lookup(entries: Column, key: Column, default: Column) -> Column:
+    """Value of a key in a map, or a default (MAP-1)."""
+    return F.coalesce(F.try_element_at(entries, key), default)
+
+
+def inverted(entries: Column) -> Column:
+    """Map with keys and values exchanged; of equal values the last key stays, as written again (MAP-1)."""
+    swapped = F.transform(F.map_entries(entries), lambda e: F.struct(e["value"], e["key"]))
+    last = F.filter(F.transform(swapped, lambda e, i: F.struct(i.alias("i"), e["value"].alias("k"), e["key"].alias("v"))), lambda e: ~F.exists(F.slice(swapped, e["i"] + 2, F.size(swapped)), lambda o: o["value"] == e["k"]))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))

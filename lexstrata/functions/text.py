@@ -122,12 +122,11 @@ def slug(x: Column | str) -> Column:
 
 def alpha_suffix(n: Column | str) -> Column:
     """A..Z, AA.. for 1, 2, ..: letters as digits without a zero, last one first (STR-22)."""
-    start = F.struct(col(n).cast("long").alias("left"), F.lit("").alias("mark"))
+    start = F.struct(F.coalesce(col(n).cast("long"), F.lit(0).cast("long")).alias("left"), F.lit("").alias("mark"))
 
     def step(a: Column, _: Column) -> Column:
-        letter = F.concat(F.char((a["left"] - 1) % 26 + 65), a["mark"])
-        more = F.struct(F.floor((a["left"] - 1) / 26).alias("left"), letter.alias("mark"))
-        return F.when(a["left"] > 0, more).otherwise(a)
+        letter = F.when(a["left"] > 0, F.char((a["left"] - 1) % 26 + 65)).otherwise("")
+        return F.struct(F.greatest(F.floor((a["left"] - 1) / 26), F.lit(0)).cast("long").alias("left"), F.concat(letter, a["mark"]).alias("mark"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(13)), start, step, lambda a: a["mark"])
 
@@ -136,3 +135,15 @@ def replace_exact(x: Column | str, old: str, new: str, times: int) -> Column:
     """x with old replaced, an error unless it occurs `times` times (PRJ-13)."""
     found = ((F.length(col(x)) - F.length(F.replace(col(x), F.lit(old), F.lit("")))) / len(old)).cast("int")
     return F.when(found == times, F.replace(col(x), F.lit(old), F.lit(new))).otherwise(F.raise_error(F.concat(F.lit(f"wanted {times} of the text, found "), found.cast("string"))))
+
+
+def incident_fingerprint(x: Column | str, date: Column | str, kind: Column | str) -> Column:
+    """Hash of the words around an incident's date with the date and kind; null without the date or with too little
+    around it (DED-8). The date is looked for as yyyy-mm-dd, then `yyyy. mm. dd.`, then `yyyy.mm.dd`."""
+    t, d = F.coalesce(col(x), F.lit("")), col(date)
+    forms = [d, F.concat(F.replace(d, F.lit("-"), F.lit(". ")), F.lit(".")), F.replace(d, F.lit("-"), F.lit("."))]
+    places = [F.call_function("instr", t, f) for f in forms]
+    at = F.coalesce(*[F.when(p > 0, p) for p in places])
+    begin = F.greatest(at - 100, F.lit(1))
+    near = squeeze(F.substring(t, begin, at + 320 - begin))
+    return F.when(F.length(near) >= 100, sha(F.concat_ws("|", d, F.coalesce(col(kind), F.lit("")), near), 20))

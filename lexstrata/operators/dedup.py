@@ -14,20 +14,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..functions.fixed_labels import PARTY
+from ..sources.sinks import written
 
 
 def components(rows: DataFrame, row: str, keys: Sequence[str]) -> DataFrame:
     """row, component: least row of all that are linked by shared values of any key. Nulls and empties link nothing."""
-    spark = rows.sparkSession
     parts = [rows.select(F.col(row).alias("r"), F.concat(F.lit(f"{k}:"), F.col(k).cast("string")).alias("v")).filter(F.coalesce(F.col(k).cast("string"), F.lit("")) != "") for k in keys]
     links = reduce(DataFrame.unionByName, parts).distinct()
     shared = links.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("v")
-    links = links.join(shared, "v").checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else links.join(shared, "v").cache()
+    links = written(links.join(shared, "v"))
     label = links.groupBy("r").agg(F.min("r").alias("c"))
     while True:
         by_value = links.join(label, "r").groupBy("v").agg(F.min("c").alias("c"))
         new = links.join(by_value, "v").groupBy("r").agg(F.min("c").alias("c"))
-        new = new.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else new.cache()
+        new = written(new)
         moved = new.join(label.withColumnRenamed("c", "o"), "r").filter("c <> o").limit(1).count()
         label = new
         if not moved:
@@ -89,25 +92,62 @@ def contained(units: DataFrame, doc: str, pos: str, text: str, least: int) -> Da
 
 def similar_texts(rows: DataFrame, row: str, text: str, ratio: float = 0.96, most: int = 5000) -> DataFrame:
     """Pairs (a, b), a < b, of texts whose difflib ratio over the first `most` normalised characters is at least `ratio`
-    (JOI-15). Candidates share a MinHash band of character 8-grams or one of a few near lengths; each text meets the band's
-    least row only, so a band of any size gives as many pairs as members."""
+    (JOI-15). Candidates share a MinHash band of character 8-grams; a text meets the least row of each of its bands, and in
+    later rounds those of the bands' rows that no earlier leader was like, until every text of a band is like a leader or
+    one itself. So a band of like texts gives as many pairs as members."""
     from difflib import SequenceMatcher
 
     norm = rows.select(row, F.substring(F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\W_]+", " ")), 1, most).alias("t"))
+    # the text is written first, so that the expressions over its places read it and don't make it again
+    norm = written(norm)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 7, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("t"), i, F.lit(8))))
-    hashes = norm.withColumn("g", grams)
     keys = F.array(*[F.array_min(F.transform("g", _seeded(b))) for b in range(12)])
-    placed = hashes.select(row, F.posexplode(keys).alias("band", "key"))
-    heads = placed.groupBy("band", "key").agg(F.min(row).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = placed.join(heads, ["band", "key"]).filter(F.col("a") < F.col(row)).select("a", F.col(row).alias("b")).distinct()
+    open_ = written(norm.select(row, grams.alias("g")).select(row, F.posexplode(keys).alias("band", "key")))
 
     @F.pandas_udf("double")
     def same(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, p, q, autojunk=False).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    one, two = norm.toDF("a", "x"), norm.toDF("b", "y")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", same("x", "y").alias("ratio")).filter(F.col("ratio") >= ratio)
+    one, two, found = norm.toDF("a", "x"), norm.toDF("b", "y"), None
+    while True:
+        heads = open_.groupBy("band", "key").agg(F.min(row).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        met = written(open_.join(heads, ["band", "key"]).filter(F.col("a") < F.col(row)).withColumnRenamed(row, "b"))
+        pairs = met.select("a", "b").distinct()
+        pairs = pairs if found is None else pairs.join(found, ["a", "b"], "left_anti")
+        judged = written(pairs.join(one, "a").join(two, "b").select("a", "b", same("x", "y").alias("ratio")))
+        found = judged if found is None else written(found.unionByName(judged))
+        unlike = met.join(found.filter(F.col("ratio") < ratio), ["a", "b"], "left_semi").select(F.col("b").alias(row), "band", "key")
+        open_ = written(unlike)
+        if not open_.limit(1).count():
+            return found.filter(F.col("ratio") >= ratio)
 
 
 def _seeded(seed: int):
     return lambda g: F.xxhash64(g, F.lit(seed))
+
+
+def merged_evidence(units: DataFrame, case: str = "doc_id") -> DataFrame:
+    """Evidence found in overlapping chunks, once: units of equal sentences, text (folded, squeezed), types, status and
+    mentions become one with all its chunks, E001.. in the order in which they were first found (DED-15).
+
+    units: case, position, chunk, sentences (array), excerpt, types (array), status, actors (array), objects (array)."""
+    fold = lambda a: F.array_sort(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda v: F.lower(v)))
+    key = {"__text": F.lower(F.btrim(F.regexp_replace("excerpt", r"\s+", " "))), "__types": F.array_sort("types"), "__actors": fold(F.col("actors")), "__objects": fold(F.col("objects"))}
+    first = F.min(F.struct("position", "excerpt")).alias("first")
+    once = units.withColumns(key).groupBy(case, "sentences", *key, "status").agg(first, F.array_sort(F.collect_set("chunk")).alias("chunks"))
+    n = F.row_number().over(Window.partitionBy(case).orderBy("first.position", "__text", "status"))
+    return once.select(case, F.format_string("E%03d", n).alias("evidence_id"), "sentences", F.col("first.excerpt").alias("excerpt"), F.col("__types").alias("types"), "status", "chunks")
+
+
+def party_registry(rows: DataFrame, case: str, one: str, two: str) -> DataFrame:
+    """The parties that either of two texts names in brackets, by canonical name: which text has them, their surface forms
+    and flags (DED-14)."""
+    found = rows.select(case, F.explode(F.array(F.struct(F.lit("one").alias("side"), F.col(one).alias("t")), F.struct(F.lit("two").alias("side"), F.col(two).alias("t")))).alias("s"))
+    marks = found.select(case, "s.side", F.posexplode(F.regexp_extract_all(F.coalesce("s.t", F.lit("")), F.lit(PARTY), F.lit(1))).alias("at", "name"))
+    sides = [F.max((F.col("side") == s).cast("int")).alias(s) for s in ("one", "two")]
+    forms = [F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("at", "name")))), lambda v: F.concat(F.lit("["), v["name"], F.lit("]")))).alias(f"{s}_forms") for s in ("one", "two")]
+    party = marks.groupBy(case, F.upper("name").alias("party")).agg(*sides, *forms)
+    mismatch = party.groupBy(case).agg(F.bool_or(F.col("one") != F.col("two")).alias("mismatch"))
+    kind = F.regexp_extract("party", r"^(.*)_[^_]*$", 1)
+    flags = F.array_compact(F.array(F.when(kind == "OTHER", "ambiguous_other_placeholder_type"), F.when(F.col("mismatch"), "source_party_set_mismatch")))
+    return party.join(mismatch, case).select(case, "party", kind.alias("party_type"), (F.col("one") == 1).alias("in_one"), (F.col("two") == 1).alias("in_two"), F.array_join("one_forms", " | ").alias("one_forms"), F.array_join("two_forms", " | ").alias("two_forms"), "mismatch", F.array_join(flags, ";").alias("flags"))

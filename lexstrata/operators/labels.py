@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_labels as L
-from ..functions.scalars import same_multiset, same_set
+from ..functions.scalars import let, same_multiset, same_set
 from ..functions.text import col, squeeze
 from .rows import first_of
 from .rules import numbers, placeholders, units
@@ -51,14 +51,19 @@ def posture_ko(x: Column | str) -> Column:
     """struct(posture, confidence, basis) of a Korean claim: exclusions in their order, then a direct claim if basis,
     conduct and harm and four of five elements are there (CLS-6)."""
     t = _text(x)
-    own = {n: _some(t, p) for n, p in L.DIRECT_KO}
-    elements = sum((v.cast("int") for v in own.values()), F.lit(0))
-    out = [((k := matching(t, p)) > 0, n, F.when(k >= 2, "high").otherwise("medium")) for n, p in L.POSTURE_KO]
-    out.append((own["tort_basis"] & own["conduct"] & own["harm"] & (elements >= 4), "direct_tort_claim", F.when(elements == 5, "high").otherwise("medium")))
-    posture, sure = first_with_level(out)
-    contract = dict(L.POSTURE_KO)["contract_or_payment"]
-    basis = first_of([((posture == "direct_tort_claim") & _some(t, contract), "mixed_tort_contract"), (posture == "direct_tort_claim", "non_contractual_tort"), *_basis(posture, L.BASIS_KO)], "unclear")
-    return F.struct(posture.alias("posture"), sure.alias("confidence"), basis.alias("basis"))
+    hits = {f"h{i}": matching(t, p) for i, (_, p) in enumerate(L.POSTURE_KO)} | {f"d_{n}": _some(t, p) for n, p in L.DIRECT_KO}
+
+    def judged(h: Column) -> Column:
+        own = {n: h[f"d_{n}"] for n, _ in L.DIRECT_KO}
+        elements = sum((v.cast("int") for v in own.values()), F.lit(0))
+        out = [(h[f"h{i}"] > 0, n, F.when(h[f"h{i}"] >= 2, "high").otherwise("medium")) for i, (n, _) in enumerate(L.POSTURE_KO)]
+        out.append((own["tort_basis"] & own["conduct"] & own["harm"] & (elements >= 4), "direct_tort_claim", F.when(elements == 5, "high").otherwise("medium")))
+        posture, sure = first_with_level(out)
+        contract = h[f"h{[n for n, _ in L.POSTURE_KO].index('contract_or_payment')}"] > 0
+        basis = first_of([((posture == "direct_tort_claim") & contract, "mixed_tort_contract"), (posture == "direct_tort_claim", "non_contractual_tort"), *_basis(posture, L.BASIS_KO)], "unclear")
+        return F.struct(posture.alias("posture"), sure.alias("confidence"), basis.alias("basis"))
+
+    return let(hits, judged)
 
 
 def subtype_ko(x: Column | str) -> Column:
@@ -76,23 +81,28 @@ def posture_en(name: Column | str, metadata: Column | str, x: Column | str) -> C
     insurance coverage does not displace a clearly pleaded direct claim."""
     own = _text(x, 30000)
     t = F.concat_ws("\n", _text(name), _text(metadata), own)
-    hits = [(n, F.size(evidence(t, p, 160))) for n, p in L.POSTURE_EN]
-    groups = {n: evidence(t, p, 160) for n, p in (("tort", L.TORT_EN), ("conduct", L.CONDUCT_EN), ("harm", L.HARM_EN), ("cause", L.CAUSATION_EN), ("plaintiff", L.PLAINTIFF_EN))}
-    has = {n: F.size(v) > 0 for n, v in groups.items()}
-    direct = sum((has[n].cast("int") for n in ("tort", "conduct", "harm", "plaintiff")), F.lit(0))
-    every = F.size(F.array_distinct(F.concat(*groups.values())))
-    contract, rights, procedure = (F.size(evidence(t, p, 160)) for p in (L.CONTRACT_EN, L.CIVIL_RIGHTS_EN, L.PROCEDURAL_EN))
-    out = [((k > 0) & ~((direct >= 4) & (k < 2)) if n == "insurance_coverage" else k > 0, n, F.when(k >= 2, "high").otherwise("medium")) for n, k in hits]
-    out += [
-        ((direct >= 4) & (has["cause"] | (F.size(groups["tort"]) >= 2)), "direct_tort_claim", F.when(has["cause"] & (every >= 6), "high").otherwise("medium")),
-        ((contract > 0) & ~(has["conduct"] & has["harm"] & has["plaintiff"]), "contract_or_payment", F.when(contract >= 2, "high").otherwise("medium")),
-        ((rights > 0) & ~has["tort"], "civil_rights_only", F.lit("medium")),
-        ((procedure > 0) & ~(has["conduct"] & has["harm"]), "procedural_only", F.lit("medium")),
-    ]
-    posture, sure = first_with_level(out)
-    mixed = F.size(evidence(own, L.CONTRACT_BASIS_EN, 160)) >= 2
-    basis = first_of([((posture == "direct_tort_claim") & mixed, "mixed_tort_contract"), (posture == "direct_tort_claim", "non_contractual_tort"), *_basis(posture, L.BASIS_EN)], "unclear")
-    return F.struct(posture.alias("posture"), sure.alias("confidence"), basis.alias("basis"))
+    groups = {"tort": L.TORT_EN, "conduct": L.CONDUCT_EN, "harm": L.HARM_EN, "cause": L.CAUSATION_EN, "plaintiff": L.PLAINTIFF_EN}
+    counted = {"contract": L.CONTRACT_EN, "rights": L.CIVIL_RIGHTS_EN, "procedure": L.PROCEDURAL_EN}
+    found = {f"h{i}": F.size(evidence(t, p, 160)) for i, (_, p) in enumerate(L.POSTURE_EN)} | {n: evidence(t, p, 160) for n, p in groups.items()}
+    found |= {n: F.size(evidence(t, p, 160)) for n, p in counted.items()} | {"mixed": F.size(evidence(own, L.CONTRACT_BASIS_EN, 160)) >= 2}
+
+    def judged(h: Column) -> Column:
+        has = {n: F.size(h[n]) > 0 for n in groups}
+        direct = sum((has[n].cast("int") for n in ("tort", "conduct", "harm", "plaintiff")), F.lit(0))
+        every = F.size(F.array_distinct(F.concat(*[h[n] for n in groups])))
+        level = lambda k: F.when(k >= 2, "high").otherwise("medium")
+        out = [((h[f"h{i}"] > 0) & ~((direct >= 4) & (h[f"h{i}"] < 2)) if n == "insurance_coverage" else h[f"h{i}"] > 0, n, level(h[f"h{i}"])) for i, (n, _) in enumerate(L.POSTURE_EN)]
+        out += [
+            ((direct >= 4) & (has["cause"] | (F.size(h["tort"]) >= 2)), "direct_tort_claim", F.when(has["cause"] & (every >= 6), "high").otherwise("medium")),
+            ((h["contract"] > 0) & ~(has["conduct"] & has["harm"] & has["plaintiff"]), "contract_or_payment", level(h["contract"])),
+            ((h["rights"] > 0) & ~has["tort"], "civil_rights_only", F.lit("medium")),
+            ((h["procedure"] > 0) & ~(has["conduct"] & has["harm"]), "procedural_only", F.lit("medium")),
+        ]
+        posture, sure = first_with_level(out)
+        basis = first_of([((posture == "direct_tort_claim") & h["mixed"], "mixed_tort_contract"), (posture == "direct_tort_claim", "non_contractual_tort"), *_basis(posture, L.BASIS_EN)], "unclear")
+        return F.struct(posture.alias("posture"), sure.alias("confidence"), basis.alias("basis"))
+
+    return let(found, judged)
 
 
 def stage_en(x: Column | str) -> Column:

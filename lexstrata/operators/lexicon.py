@@ -68,3 +68,10 @@ def longest(spans: DataFrame, blocks: dict[str, str] | None = None) -> DataFrame
 def summary(spans: DataFrame) -> DataFrame:
     """Per category: spans, distinct concepts, documents (LEX-4)."""
     return spans.groupBy("category").agg(F.count(F.lit(1)).alias("n_spans"), F.count_distinct("concept").alias("n_concepts"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+def simple_longest(found: DataFrame) -> DataFrame:
+    """The older match (LEX-5): hits without token boundaries or collisions, of each category the longest that don't
+    overlap, earlier and then lesser ids first; remedies bar doctrines. Hits of `hits` with forms of language `any`."""
+    own = found.select("doc_id", "start", "end", "category", "text", F.col("surface_id").alias("concept"))
+    return longest(own, {"remedy": "doctrine"})

@@ -92,3 +92,31 @@ def batch_gate(df: DataFrame, hard: Column, api: Column, most_hard: float, most_
     """Rates of hard and transport failures and whether they block the batch (QC-14)."""
     rate = lambda c: F.coalesce(F.try_divide(F.count_if(c), F.count(F.lit(1))), F.lit(0.0))
     return df.agg(rate(hard).alias("hard_rate"), rate(api).alias("api_rate")).withColumn("blocked", (F.col("hard_rate") > most_hard) | (F.col("api_rate") > most_api))
+
+
+def run_checks(before: DataFrame, after: DataFrame, plan: DataFrame, settings: dict[str, tuple]) -> DataFrame:
+    """Named checks that a second run repeats the first but for its instruction: check, holds (QC-7).
+
+    before, plan: case_id, language, fact_sha256 (plan also target, instruction, wanted_instruction, prompt_before,
+    prompt_after); after: records of the second run; settings: name -> (first, second). Each check is one aggregation."""
+    none = lambda bad: F.count_if(F.coalesce(bad, F.lit(True))) == 0
+    per_case = plan.groupBy("case_id").agg(F.count_distinct("language").alias("languages"), F.count_distinct("target").alias("targets"))
+    facts = plan.join(before.select("case_id", "language", F.col("fact_sha256").alias("was")), ["case_id", "language"], "left")
+    cases = plan.select("case_id").distinct().join(before.select("case_id").distinct().withColumn("there", F.lit(True)), "case_id", "full_outer")
+    planned = plan.select("case_id", "language").distinct().withColumn("known", F.lit(True))
+    answered = after.join(planned, ["case_id", "language"], "left")
+    prefixed = F.col("prompt_after") != F.concat(F.col("instruction"), F.lit("\n\n"), F.col("prompt_before"))
+    checks = {
+        "exact_instructions": plan.agg(none(F.col("instruction") != F.col("wanted_instruction"))),
+        "each_case_has_both_languages": per_case.agg(none(F.col("languages") != 2)),
+        "languages_share_the_target": per_case.agg(none(F.col("targets") != 1)),
+        "case_selection_matches": cases.join(plan.select("case_id").distinct().withColumn("planned", F.lit(True)), "case_id", "left").agg(none(F.col("there").isNull() | F.col("planned").isNull())),
+        "facts_unchanged": facts.agg(none(F.col("was") != F.col("fact_sha256"))),
+        "only_the_prefix_differs": plan.agg(none(prefixed)),
+        "answers_are_planned": answered.agg(none(F.col("known").isNull())),
+    }
+    parts = [df.toDF("holds").select(F.lit(n).alias("check"), "holds") for n, df in checks.items()]
+    same = plan.sparkSession.createDataFrame([("settings_unchanged", all(a == b for a, b in settings.values()))], "check string, holds boolean")
+    for p in parts:
+        same = same.unionByName(p)
+    return same

@@ -160,3 +160,76 @@ def numbered(df: DataFrame, *order: str, bucket: Column | None = None) -> DataFr
     rank = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     placed = rows.withColumn("__rank", rank).join(counts.select("__range", before.alias("__before")), "__range")
     return placed.withColumn("number", F.col("__before") + F.col("__rank")).drop("__range", "__rank", "__before")
+
+
+def nonempty_rate(df: DataFrame, *arrays: Column | str) -> DataFrame:
+    """How many of the arrays are not empty, over all rows, divided by the rows; 0 without rows (AGG-17)."""
+    some = sum((F.coalesce(F.size(col(a)) > 0, F.lit(False)).cast("int") for a in arrays), F.lit(0))
+    return df.agg(F.coalesce(F.round(F.try_divide(F.sum(some), F.count(F.lit(1))), 6), F.lit(0.0)).alias("rate"))
+
+
+def merged_summaries(parts: DataFrame, keys: Sequence[str], sums: Sequence[str], most: Sequence[str]) -> DataFrame:
+    """Partial summaries as one: counts add up, peaks take the highest (AGG-24). Top lists are made again from rows, as
+    merging cut lists loses their tails."""
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in most])
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """n rows by hash order (SMP-2); each task sends its own first n."""
+    return df.orderBy(hash_order(key, seed), key).limit(n)
+
+
+def spread_sample(df: DataFrame, group: str, period: str, key: str, quotas: dict[str, int], target: int, seed: str) -> DataFrame:
+    """Each group's quota by turns over its periods, then others by hash up to the target: df's rows with `pool` (SMP-3)."""
+    quota = F.coalesce(reduce(lambda a, kv: F.when(F.col(group) == kv[0], kv[1]).otherwise(a), quotas.items(), F.lit(None).cast("int")), F.lit(0))
+    most = max(target, *quotas.values())
+    turns = top_per(df, [group, period], most, hash_order(key, seed), F.col(key), rank="__turn")
+    ranked = turns.withColumn("__place", F.row_number().over(Window.partitionBy(group).orderBy("__turn", period, key)))
+    chosen = ranked.withColumn("pool", F.when(F.col("__place") <= quota, "quota").otherwise("fill"))
+    return chosen.orderBy((F.col("pool") != "quota").cast("int"), hash_order(key, seed), key).limit(target).drop("__turn", "__place")
+
+
+def with_fallback(df: DataFrame, primary: Column, group: str, period: str, key: str, quotas: dict[str, int], target: int, seed: str) -> DataFrame:
+    """spread_sample of the rows that pass `primary`, and of the others for what is then lacking (SMP-3)."""
+    first = spread_sample(df.filter(primary), group, period, key, quotas, target, seed).withColumn("source", F.lit("primary"))
+    lacking = target - first.count()
+    if lacking <= 0:
+        return first
+    rest = spread_sample(df.filter(~F.coalesce(primary, F.lit(False))), group, period, key, quotas, lacking, seed + "+")
+    return first.unionByName(rest.withColumn("source", F.lit("fallback")))
+
+
+def shortages(chosen: DataFrame, available: DataFrame, group: str, quotas: dict[str, int]) -> DataFrame:
+    """Per group with a quota: quota, available, selected and what is short (SMP-3, SMP-4)."""
+    spark = chosen.sparkSession
+    wanted = spark.createDataFrame(sorted(quotas.items()), f"{group} string, quota int")
+    n = lambda d, name: d.groupBy(group).agg(F.count(F.lit(1)).alias(name))
+    j = wanted.join(n(available, "available"), group, "left").join(n(chosen, "selected"), group, "left").fillna(0)
+    return j.withColumn("shortage", F.greatest(F.col("quota") - F.col("selected"), F.lit(0)))
+
+
+def capped_quota(df: DataFrame, group: str, kind: str, key: str, quotas: dict[str, int], caps: dict[str, int], cap: int, target: int, seed: str) -> DataFrame:
+    """Each group's quota by hash order, with at most `caps` (else `cap`) rows of a kind; groups in the order of the quotas
+    while the target lasts (SMP-4). A kind belongs to one group, so the caps are ranks within kinds."""
+    most = F.coalesce(reduce(lambda a, kv: F.when(F.col(kind) == kv[0], kv[1]).otherwise(a), caps.items(), F.lit(None).cast("int")), F.lit(cap))
+    order = [hash_order(key, seed), F.col(key)]
+    own = top_per(df.filter(F.col(group).isin(*quotas)), [group, kind], max(cap, *caps.values()), *order, rank="__kind").filter(F.col("__kind") <= most)
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    turn = reduce(lambda a, kv: F.when(F.col(group) == kv[1], kv[0]).otherwise(a), list(enumerate(quotas)), F.lit(None).cast("int"))
+    quota = reduce(lambda a, kv: F.when(F.col(group) == kv[0], kv[1]).otherwise(a), quotas.items(), F.lit(0))
+    chosen = own.withColumn("__place", place).filter(F.col("__place") <= quota)
+    return chosen.orderBy(turn, "__place").limit(target).drop("__kind", "__place")
+
+
+def best_combination(pool: DataFrame, key: str, kinds: Sequence[str], seed: str, n: int = 4) -> DataFrame:
+    """The n rows of a small pool with the most distinct values of each of `kinds` in turn, ties by hash of their sorted
+    keys (SRT-6). The pool is joined with itself in the order of keys, at most 20 rows of it."""
+    rows = pool.select(F.struct(F.col(key).cast("string").alias("key"), *kinds).alias("r")).orderBy("r.key").limit(20)
+    sets = rows.select(F.array("r").alias("own"))
+    for _ in range(n - 1):
+        sets = sets.join(rows, F.element_at("own", -1)["key"] < F.col("r.key")).select(F.concat("own", F.array("r")).alias("own"))
+    value = lambda k: lambda r: r[k]
+    distinct = [-F.size(F.array_distinct(F.transform("own", value(k)))) for k in kinds]
+    keys = F.transform("own", lambda r: r["key"])
+    score = F.sha2(F.concat_ws("|", F.lit(seed), keys), 256)
+    return sets.agg(F.min(F.struct(*[d.alias(f"d{i}") for i, d in enumerate(distinct)], score.alias("score"), keys.alias("keys"))).alias("best")).select("best.keys")

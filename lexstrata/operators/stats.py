@@ -31,28 +31,60 @@ def hash_unit(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / float(1 << 40)
 
 
+def replicated(rows: DataFrame, times: int, seed: int, names: list[str], sums) -> DataFrame:
+    """b (0 to times - 1) and sums over all rows for each replicate. rows: key (a hash, long) and further columns; sums(u,
+    columns) gives an array per name from the rows' uniform numbers of one replicate. Each task sends one row a replicate,
+    so neither rows nor replicates are multiplied in a shuffle."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        total = np.zeros((times, len(names)))
+        for batch in batches:
+            key = batch.column(0).to_numpy().view(np.uint64)
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+            for b in range(times):
+                x = key ^ np.uint64((b * 0x9E3779B97F4A7C15 + seed * 0xD6E8FEB86659FD93) % 2**64)
+                for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+                u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+                total[b] += [float(v.sum()) for v in sums(u, columns)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(times)), *[pa.array(total[:, i]) for i in range(len(names))]], names=["b", *names])
+
+    parts = rows.mapInArrow(run, ", ".join(["b long", *[f"{n} double" for n in names]]))
+    return parts.groupBy("b").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def bootstrap_mean(df: DataFrame, value: str, key: str, times: int = 200, seed: int = 7) -> DataFrame:
     """Percentile interval of the mean by Poisson bootstrap (STA-3): each row gets a Poisson(1) weight per replicate from
-    a hash, so replicates are sums that combine before the shuffle and rows are never gathered."""
+    a hash of its key, and the replicates' sums are all that leaves a task."""
     cuts, p = [], 0.0
     for k in range(7):
         p += math.exp(-1) / math.factorial(k)
         cuts.append(p)
-    u = hash_unit(F.lit(seed), F.col("b"), F.col(key))
-    weight = sum(((u >= c).cast("int") for c in cuts[1:]), (u >= cuts[0]).cast("int"))
-    rows = df.filter(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("b"))
-    means = rows.groupBy("b").agg((F.sum(F.col(value) * weight) / F.nullif(F.sum(weight), F.lit(0))).alias("mean"))
+
+    def sums(u, columns):
+        import numpy as np
+
+        weight = np.searchsorted(cuts, u, side="right")
+        return weight * columns[0], weight
+
+    rows = df.filter(F.col(value).isNotNull()).select(F.xxhash64(key).alias("key"), F.col(value).cast("double").alias("v"))
+    means = replicated(rows, times, seed, ["s", "w"], sums).select((F.col("s") / F.nullif(F.col("w"), F.lit(0.0))).alias("mean"))
     return means.agg(F.count("mean").alias("replicates"), F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
 
 
 def sign_flip(df: DataFrame, difference: str, key: str, times: int = 500, seed: int = 7) -> DataFrame:
     """Two-sided sign-flip permutation p-value of a mean difference, (extreme + 1) / (n + 1) (STA-4)."""
-    sign = F.when(hash_unit(F.lit(seed), F.col("b"), F.col(key)) < 0.5, 1).otherwise(-1)
-    rows = df.filter(F.col(difference).isNotNull()).select(key, difference, F.explode(F.sequence(F.lit(0), F.lit(times))).alias("b"))
-    sums = rows.groupBy("b").agg(F.sum(F.col(difference) * F.when(F.col("b") == 0, 1).otherwise(sign)).alias("s"))
-    own = F.max(F.when(F.col("b") == 0, F.abs("s"))).over(Window.partitionBy())
-    marked = sums.withColumn("extreme", (F.col("b") > 0) & (F.abs("s") >= own - 1e-12))
-    return marked.agg(((F.count_if("extreme") + 1) / (F.lit(times) + 1)).alias("p"))
+
+    def sums(u, columns):
+        import numpy as np
+
+        return np.where(u < 0.5, columns[0], -columns[0]), columns[0]
+
+    rows = df.filter(F.col(difference).isNotNull()).select(F.xxhash64(key).alias("key"), F.col(difference).cast("double").alias("v"))
+    found = replicated(rows, times, seed, ["s", "own"], sums)
+    return found.agg(((F.count_if(F.abs("s") >= F.abs("own") - 1e-12) + 1) / (F.lit(times) + 1)).alias("p"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, key: str) -> DataFrame:
@@ -163,3 +195,40 @@ def paired(df: DataFrame, keys: list[str], condition: str, value: str, first: st
     """Mean of a value under two conditions by key, both there, and their difference (JOI-7, STA-10)."""
     g = df.groupBy(*keys).agg(F.avg(F.when(F.col(condition) == first, col(value))).alias("first"), F.avg(F.when(F.col(condition) == second, col(value))).alias("second"))
     return g.filter(F.col("first").isNotNull() & F.col("second").isNotNull()).withColumn("difference", F.col("first") - F.col("second"))
+
+
+def label_vector(units: DataFrame, key: str, labels: str) -> DataFrame:
+    """Per key and label, how often the label stands in its units, divided by the units: key, label, share (STA-9). units: one
+    row per unit with an array of labels."""
+    n = units.groupBy(key).agg(F.count(F.lit(1)).alias("n_units"))
+    per = units.select(key, F.explode(labels).alias("label")).groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
+    return per.join(n, key).select(key, "label", (F.col("n") / F.col("n_units")).alias("share"))
+
+
+def set_shift(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """Per key of both sides: values added and removed (sorted, joined by |), whether any were, and the Jaccard distance
+    of the two sets, 0 for two empty ones (STA-14). One row per value on either side; null for a key without values."""
+    a = before.groupBy(key).agg(F.collect_set(value).alias("b"))
+    b = after.groupBy(key).agg(F.collect_set(value).alias("a"))
+    names = lambda x, y: F.array_join(F.array_sort(F.array_except(x, y)), "|")
+    union, shared = F.size(F.array_union("a", "b")), F.size(F.array_intersect("a", "b"))
+    j = a.join(b, key)
+    return j.select(key, names("a", "b").alias("added"), names("b", "a").alias("removed"), (union != shared).alias("shifted"), F.when(union > 0, 1 - shared / union).otherwise(0.0).alias("distance"))
+
+
+def agreement(before: DataFrame, after: DataFrame, keys: list[str], part: str, value: str) -> DataFrame:
+    """Per key, over the parts that both sides have: how many, the share whose value agrees and whether any differs (STA-14)."""
+    a, b = before.select(*keys, part, F.col(value).alias("__a")), after.select(*keys, part, F.col(value).alias("__b"))
+    same = F.col("__a").eqNullSafe(F.col("__b"))
+    return a.join(b, [*keys, part]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(same.cast("int")).alias("agreement"), F.bool_or(~same).alias("shifted"))
+
+
+def usage_projection(samples: DataFrame, plan: DataFrame, by: str, size: str, prompt: str, completion: str, effort: str, per_prompt: float, per_completion: float) -> DataFrame:
+    """Requests, tokens and cost of a plan from a sample's fits: prompt tokens by a line in the input's size per `by`,
+    completions by their mean per (`by`, effort) (STA-15). The fits are a row per group and broadcast."""
+    fit = line(samples, prompt, size, by).select(by, "slope", "intercept")
+    mean = samples.groupBy(by, effort).agg(F.avg(completion).alias("mean"), F.min(completion).alias("low"), F.max(completion).alias("high"))
+    j = plan.join(F.broadcast(fit), by).join(F.broadcast(mean), [by, effort])
+    tokens = F.greatest(F.lit(1), F.round(F.col("intercept") + F.col("slope") * F.col(size)).cast("long"))
+    g = j.groupBy(effort).agg(F.count(F.lit(1)).alias("requests"), F.sum(tokens).alias("prompt_tokens"), F.sum(F.round("mean").cast("long")).alias("completion_tokens"), F.sum("low").alias("low"), F.sum("high").alias("high"))
+    return g.withColumn("cost", F.col("prompt_tokens") * per_prompt + F.col("completion_tokens") * per_completion)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import labels, relational, sampling, textual  # noqa: F401  importing registers
+from . import labels, library, relational, sampling, textual  # noqa: F401  importing registers
 from .registry import ORACLES, QUERIES
 
 

@@ -60,7 +60,7 @@ def _(t):
 def _(t):
     # both dimensions are constants, so they explode in place and no join is made
     rows = t.nation.select("n_nationkey", F.explode(F.array(F.lit("en"), F.lit("ko"))).alias("lang")).select("*", F.explode(F.array(F.lit("high"), F.lit("low"), F.lit("none"))).alias("effort"))
-    return rows.withColumn("request_order", F.row_number().over(Window.orderBy("n_nationkey", "lang", "effort")).cast("long"))
+    return op.numbered(rows, "n_nationkey", "lang", "effort", bucket=F.col("n_nationkey")).withColumnRenamed("number", "request_order")
 
 
 @query("prj11_surrogate_ids", "SELECT conv_id, turn, 'F' || lpad(CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS VARCHAR), 3, '0') AS fact_id FROM conversations")

@@ -28,3 +28,10 @@ def reconciled(primary: DataFrame, secondary: DataFrame, adjudication: DataFrame
     j = primary.select(key, F.col(label).alias("p")).join(secondary.select(key, F.col(label).alias("s")), key, "left").join(adjudication.select(key, F.col(label).alias("a")), key, "left")
     same = F.col("p").eqNullSafe(F.col("s"))
     return j.select(key, F.when(same, F.col("p")).otherwise(F.coalesce("a", "p")).alias(label), F.when(same, "agreed").when(F.col("a").isNotNull(), "adjudicated").when(F.col("s").isNull(), "primary_only").otherwise("unresolved").alias("basis"))
+
+
+def mocked(requests: DataFrame, fixtures: DataFrame, stage: str, key: str) -> DataFrame:
+    """Requests with the answer that a table of fixtures (stage, key, response) holds for a stage; a missing one is null
+    and so invalid (SRC-15)."""
+    own = fixtures.filter(F.col("stage") == stage).select(key, "response")
+    return requests.join(own, key, "left")

@@ -60,3 +60,74 @@ def read_markdown(spark: SparkSession, path: str, section: str = "판례내용",
     fields = F.map_from_entries(F.transform(lines, lambda x: F.struct(key(x).alias("key"), value(x).alias("value"))))
     body = F.regexp_extract("value", rf"(?ms)^## {section}\s*$\n?(.*?)(?=^## |\z)", 1)
     return files.select("path", fields.alias("fields"), F.btrim(body, F.lit(" \n\r\t")).alias("body"))
+
+
+def read_arrow(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows of Arrow files or streams, in the order of their names (SRC-6): read on the executors as bytes and decoded
+    there batch by batch; the schema comes from the first file."""
+    import pyarrow as pa
+
+    def opened(content: bytes):
+        source = pa.BufferReader(content)
+        return pa.ipc.open_file(source) if content[:6] == b"ARROW1" else pa.ipc.open_stream(source)
+
+    def batches_of(reader):
+        return (reader.get_batch(i) for i in range(reader.num_record_batches)) if hasattr(reader, "num_record_batches") else iter(reader)
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0):
+                yield from batches_of(opened(content.as_py()))
+
+    files = spark.read.format("binaryFile").load(sorted(paths)).select("content")
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    return files.mapInArrow(run, from_arrow_schema(opened(files.first()["content"]).schema))
+
+
+def scan(spark: SparkSession, path: str, columns: list[str], filters: list[tuple[str, str, object]]) -> DataFrame:
+    """Some columns of the rows that pass (column, operator, value) filters; both reach the Parquet reader (SRC-11)."""
+    ops = {"==": "eqNullSafe", "=": "eqNullSafe", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__", "in": "isin"}
+    df = spark.read.parquet(path)
+    for name, op, value in filters:
+        df = df.filter(getattr(F.col(name), ops[op])(value))
+    return df.select(*columns)
+
+
+def read_document(spark: SparkSession, path: str) -> dict:
+    """A single JSON object, such as a configuration (SRC-12)."""
+    import json
+
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def read_quotas(spark: SparkSession, path: str) -> dict:
+    """A sampling configuration whose quotas must add up to its target (SRC-13)."""
+    config = read_document(spark, path)
+    quotas = config.get("quotas")
+    if not isinstance(quotas, dict) or sum(map(int, quotas.values())) != int(config.get("target_count", 0)):
+        raise ValueError("the quotas must add up to target_count")
+    return config
+
+
+def revision(head: str, loose: dict[str, str], packed: str) -> str:
+    """Commit that a repository's HEAD names: a loose ref, else a packed one, else HEAD itself (SRC-14)."""
+    name = head.strip().removeprefix("ref: ")
+    if name == head.strip():
+        return name
+    lines = (x.split(" ", 1) for x in packed.splitlines() if x[:1] not in ("", "#", "^"))
+    return loose.get(name, "").strip() or next((sha for sha, ref in lines if ref == name), head.strip())
+
+
+def artifacts(tables: dict[str, list[DataFrame]], key: str = "case_id") -> dict[str, DataFrame]:
+    """Each kind's tables as one, with a row per key; later tables win (SRC-16)."""
+    out = {}
+    for kind, parts in tables.items():
+        rows = None
+        for i, p in enumerate(parts):
+            own = p.withColumn("__turn", F.lit(i))
+            rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+        names = [c for c in rows.columns if c not in (key, "__turn")]
+        last = F.max_by(F.struct(*names), F.col("__turn")).alias("__last")
+        out[kind] = rows.groupBy(key).agg(last).select(key, *[F.col(f"__last.{c}").alias(c) for c in names])
+    return out

@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path under spark.checkpoint.dir, which executors share; a temporary one in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/step-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='lexstrata-')}/step"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in a scratch folder: cuts lineage, so a lost executor costs one step's tasks."""
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def write_guarded(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Parquet, an error if the path exists and may not be overwritten (SNK-1, SNK-4); a job's commit is atomic."""
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
