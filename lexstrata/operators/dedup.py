@@ -70,19 +70,19 @@ def first_wins(rows: DataFrame, row: str, keys: Sequence[str], losers_register:
 
 def contained(units: DataFrame, doc: str, pos: str, text: str, least: int) -> DataFrame:
     """doc, pos of units of `least` characters or more that an earlier kept unit of the document contains (DED-12).
-    A unit that is dropped no longer bars later ones, so a document's units are walked in order, in one Arrow pass."""
+    What a dropped unit contains, the unit that dropped it contains too, so any earlier unit decides: each is looked for
+    once, in all units before it as one text."""
     gathered = units.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(pos, text))).alias("units"))  # one document's own units
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def dropped(column: pd.Series) -> pd.Series:
         def one(us) -> list[int]:
-            kept, out = [], []
-            for u in us:
-                t = (u[text] or "").strip()
-                if len(t) >= least and any(t in k for k in kept):
-                    out.append(int(u[pos]))
-                else:
-                    kept.append(t)
+            units = [(int(u[pos]), (u[text] or "").strip()) for u in us]
+            whole, end, out = "\x1e".join(t for _, t in units), 0, []
+            for place, t in units:
+                if len(t) >= least and whole.find(t, 0, end) >= 0:
+                    out.append(place)
+                end += len(t) + 1
             return out
 
         return column.map(one)

@@ -7,6 +7,7 @@ made; the lexicon is a driver-side list by nature (hundreds of forms). What foll
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import pandas as pd
@@ -53,13 +54,18 @@ def longest(spans: DataFrame, blocks: dict[str, str] | None = None) -> DataFrame
     order = sorted(set(barred), key=str)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep, taken = [], {}
+        keep, taken = [], {}  # of each category the starts and ends of what is taken, in order and without overlap
         pdf = pdf.assign(size=pdf["end"] - pdf["start"], late=~pdf["category"].isin(order)).sort_values(["late", "size", "start", "concept"], ascending=[True, False, True, True])
         for i, r in zip(pdf.index, pdf.itertuples(), strict=True):
-            if all(r.end <= a or b <= r.start for a, b in taken.get(r.category, [])):
+            starts, ends = taken.setdefault(r.category, ([], []))
+            at = bisect_left(starts, r.start)
+            if (at == 0 or ends[at - 1] <= r.start) and (at == len(starts) or r.end <= starts[at]):
                 keep.append(i)
                 for c in (r.category, barred.get(r.category)):
-                    taken.setdefault(c, []).append((r.start, r.end))
+                    starts, ends = taken.setdefault(c, ([], []))
+                    at = bisect_left(starts, r.start)
+                    starts.insert(at, r.start)
+                    ends.insert(at, r.end)
         return pdf.loc[keep, ["doc_id", "start", "end", "category", "text", "concept"]]
 
     return spans.groupBy("doc_id").applyInPandas(run, "doc_id long, start int, end int, category string, text string, concept string")

@@ -29,7 +29,10 @@ def _(t):
     return dedup.first_wins(keyed, "doc_id", ["head", "whole"], losers_register=False)
 
 
-@query("ded7_cascade_losers_register")
+@query(
+    "ded7_cascade_losers_register",
+    "WITH k AS (SELECT doc_id, md5(substr(text, 1, 120)) AS head, md5(text) AS whole FROM documents), a AS (SELECT head AS v, min(doc_id) AS f FROM k GROUP BY 1), b AS (SELECT whole AS v, min(doc_id) AS f FROM k GROUP BY 1) SELECT doc_id, a.f = doc_id AND b.f = doc_id AS kept, CASE WHEN a.f < doc_id THEN 'head' WHEN b.f < doc_id THEN 'whole' END AS because, CASE WHEN a.f < doc_id THEN a.f WHEN b.f < doc_id THEN b.f END AS of FROM k JOIN a ON a.v = head JOIN b ON b.v = whole",
+)
 def _(t):
     keyed = t.documents.select("doc_id", F.md5(F.substring("text", 1, 120)).alias("head"), F.md5("text").alias("whole"))
     return dedup.first_wins(keyed, "doc_id", ["head", "whole"], losers_register=True)
@@ -41,7 +44,10 @@ def _(t):
     return t.documents.select("doc_id", "source", "lang").join(shared, ["source", "lang"]).select("doc_id", F.concat(F.lit("GRP_"), F.substring(F.sha2(F.concat_ws(":", "source", "lang"), 256), 1, 12)).alias("grp"))
 
 
-@query("ded12_containment")
+@query(
+    "ded12_containment",
+    r"WITH u AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS unit, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INT) AS pos FROM documents) SELECT doc_id, pos FROM u a WHERE length(unit) >= 40 AND EXISTS (SELECT 1 FROM u b WHERE b.doc_id = a.doc_id AND b.pos < a.pos AND contains(b.unit, a.unit))",
+)
 def _(t):
     return dedup.contained(t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "unit")), "doc_id", "pos", "unit", 40)
 
@@ -133,9 +139,12 @@ def _(t):
     return stats.rank_counts(t.documents, "lang", "n_chars", "en", "de").select("n_first", "n_second", F.round("cliffs_delta", 8).alias("cliffs_delta"))
 
 
-@query("sta2_mann_whitney")
+@query(
+    "sta2_mann_whitney",
+    "WITH c AS (SELECT n_chars AS v, count(*) FILTER (WHERE lang = 'en') AS a, count(*) FILTER (WHERE lang = 'de') AS b FROM documents WHERE lang IN ('en', 'de') GROUP BY 1), r AS (SELECT *, a + b AS t, coalesce(sum(a + b) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (a + b + 1) / 2.0 AS rank FROM c), s AS (SELECT sum(a)::DOUBLE AS n, sum(b)::DOUBLE AS m, sum(a * rank)::DOUBLE AS r, sum(t::DOUBLE ** 3 - t) AS ties FROM r) SELECT n::BIGINT AS n_first, m::BIGINT AS n_second, r - n * (n + 1) / 2 AS u, round((r - n * (n + 1) / 2 - n * m / 2) / sqrt(n * m / 12 * ((n + m + 1) - ties / ((n + m) * (n + m - 1)))), 6) AS z FROM s",
+)
 def _(t):
-    return stats.rank_counts(t.documents, "lang", "n_chars", "en", "de")
+    return stats.rank_counts(t.documents, "lang", "n_chars", "en", "de").select("n_first", "n_second", F.col("u").cast("double").alias("u"), F.round("z", 6).alias("z"))
 
 
 @query("sta3_bootstrap")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed as X
 from ..functions import scalars as sc
 from ..functions import text as tx
 from ..operators import lexicon, rules
@@ -168,7 +169,15 @@ def _(t):
     return t.documents.select("doc_id", F.col("text").rlike("(?i)licen[sc]ed?").alias("license"), F.col("text").rlike("(?i)copyright|rights reserved").alias("rights"), F.col("text").rlike(r"[\w.]+@[\w.]+").alias("address"))
 
 
-@query("fea1_features")
+_TERMS = {"doctrine": X.DOCTRINE, "remedy": X.REMEDY, "procedure": X.PROCEDURE, "jurisdiction": X.JURISDICTION}
+_TERM_SUMS = {k: " + ".join(f"(length(low) - length(replace(low, '{w.lower()}', ''))) // {len(w)}" for w in v) for k, v in _TERMS.items()}
+_SENTENCES = r"greatest(len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?。])\s+|\n+', '\1' || chr(30), 'g'), chr(30)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 1)), 1)"
+
+
+@query(
+    "fea1_features",
+    f"WITH b AS (SELECT doc_id, text, lower(text) AS low, len(regexp_extract_all(text, '{X.TOKEN.replace(chr(39), chr(39) * 2)}')) AS n, {_SENTENCES} AS s FROM documents), k AS (SELECT doc_id, n, s, {', '.join(f'{v} AS {c}' for c, v in _TERM_SUMS.items())} FROM b) SELECT doc_id, n::BIGINT AS n_tokens, s::BIGINT AS n_sentences, round_even(n / s, 4) AS avg_sentence, {', '.join(f'{c}::BIGINT AS {c}_terms, CASE WHEN n > 0 THEN round_even({c} / n * 1000, 4) ELSE 0 END AS {c}_per_1k' for c in _TERMS)} FROM k",
+)
 def _(t):
     return rules.features(t.documents)
 
