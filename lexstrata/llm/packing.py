@@ -30,9 +30,11 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class PieceEncoder:
     """Token ids of whole texts as little-endian 32-bit buffers.
 
-    A byte-level BPE of this family splits texts before a space or newline that stands between two characters which
-    are not white space, so such parts are encoded on their own and frequent ones kept (a bounded number). Texts with
-    white space in other places, or with a special token's string, are encoded as a whole by the tokenizer itself.
+    The tokenizer's own vocabulary and merges are read as ranks by a faster library; tests hold its ids against the
+    tokenizer's. A byte-level BPE of this family splits texts before a space or newline that stands between two
+    characters which are not white space, so such parts are encoded on their own and frequent ones kept (a bounded
+    number). Texts with white space in other places are encoded as a whole, and texts with a special token's string,
+    which the ranks lack, by the tokenizer itself.
     """
 
     def __init__(self, vocabulary: str):

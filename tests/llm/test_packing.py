@@ -64,3 +64,10 @@ def test_plan_covers_each_rank_once(seed):
     if seen:
         assert sorted(fill) == list(range(len(fill)))
         assert len(fill) <= 1.25 * sum(n * c for n, c in histogram.items()) / 1024 + sum(c for n, c in histogram.items() if 2 * n > 1024) + 2
+
+
+def test_clashing_names(documents):
+    df = documents(["a b c", "", None, "word " * 1500])
+    odd = df.withColumns({c: df["text"] for c in ("piece", "start", "length", "sequence_id", "offset", "bucket")})
+    rows = packing.pack(odd, VOCABULARY).collect()
+    checked(rows, [(r.doc_id, r.text) for r in df.collect()])

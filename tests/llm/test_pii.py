@@ -64,3 +64,17 @@ def test_accounts_of_every_length(documents):
     assert got[:18] == [[(3, 3 + len(x))] for x in numbers for _ in range(3)]
     assert got[18:23] == [[(4, 31)], [(0, 22), (23, 44)], [], [], []]
     assert got[24:] == [[], []]
+
+
+def test_clashing_names_and_very_long_texts(documents):
+    from lexstrata.llm import pii
+
+    long = "x " * 200_000 + "mail a@b.org now " + "1.2.3.4 " * 300
+    df = documents([long, "a@b.org", None])
+    odd = df.withColumns({c: df["doc_id"] for c in ("email", "gaps_email", "values_ip", "__null", "__row", "__spans", "__text")})
+    rows = {r.doc_id: r for r in pii.report(odd).collect()}
+    assert (rows[0].n_email, rows[0].n_ip) == (1, 300) and rows[1].n_email == 1 and rows[2].n_email == 0
+    kept = pii.redact(odd)
+    assert kept.columns == odd.columns
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    assert texts[1] == "[EMAIL]" and texts[2] is None and texts[0].count("[IP]") == 300
