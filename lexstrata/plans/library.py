@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import allocation, dedup, graph, lexicon, quality, rules, segments, stats
 from ..operators import rows as op
 from ..sources import enrichment, files, sinks
+from ..sources.paged import PagedSource
 from ..sources.sinks import scratch
 from ..streaming import ingest
 from .labels import _case, _count, _quoted
@@ -806,3 +807,75 @@ def _(t):
     at = scratch(t.spark)
     sinks.write_by_value(t.orders.select("o_orderkey", "o_orderstatus"), at, "o_orderstatus")
     return t.spark.read.parquet(at)
+
+
+def page_of_numbers(offset: int, length: int) -> dict:
+    """A page of 250 numbered rows, as a service would send it."""
+    return {"num_rows_total": 250, "partial": False, "rows": [{"row": {"n": i}} for i in range(offset, min(250, offset + length))]}
+
+
+def _paged(t, **options):
+    t.spark.dataSource.register(PagedSource)
+    return t.spark.read.format("paged").options(fetch=f"{__name__}:page_of_numbers", page=40, **options).load()
+
+
+@query("src8_first_documents", "SELECT 'n' || n_nationkey AS id FROM nation WHERE n_nationkey IN (0, 1, 10)")
+def _(t):
+    at = scratch(t.spark)
+    page = F.format_string("---\nid: n%d\n---\n## 판례내용\nx\n", "n_nationkey")
+    t.nation.select(page.alias("value"), "n_nationkey").repartition(25, "n_nationkey").write.partitionBy("n_nationkey").text(at)
+    return files.read_markdown(t.spark, f"{at}/*/*", limit=3).select(F.col("fields")["id"].alias("id"))
+
+
+@query("src9_paged", """SELECT i AS position, '{"n": ' || i || '}' AS json FROM range(250) r(i)""")
+def _(t):
+    return _paged(t)
+
+
+@query("src10_paged_limit", """SELECT i AS position, '{"n": ' || i || '}' AS json FROM range(90) r(i)""")
+def _(t):
+    return _paged(t, limit=90)
+
+
+@query("src12_document", "SELECT 7 AS seed, 'x' AS name")
+def _(t):
+    at = scratch(t.spark)
+    t.spark.createDataFrame([('{"seed": 7, "name": "x"}',)], "value string").coalesce(1).write.text(at)
+    d = files.read_document(t.spark, at)
+    return t.spark.createDataFrame([(d["seed"], d["name"])], "seed int, name string")
+
+
+@query("src14_revision", "SELECT 'fff' AS packed, 'abc' AS loose, '123' AS own")
+def _(t):
+    packed = "# pack-refs\nfff refs/heads/m\n^eee"
+    found = files.revision("ref: refs/heads/m\n", {}, packed), files.revision("ref: refs/heads/m", {"refs/heads/m": "abc\n"}, packed), files.revision("123\n", {}, packed)
+    return t.spark.createDataFrame([found], "packed string, loose string, own string")
+
+
+@query("snk7_keyed_merge", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_totalprice > 200000 THEN 'new' ELSE o_orderpriority END AS p FROM orders")
+def _(t):
+    old = t.orders.select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("p"))
+    return op.upsert(old, t.orders.filter("o_totalprice > 200000").select("o_orderkey", "o_orderstatus", F.lit("new").alias("p")), ["o_orderkey", "o_orderstatus"])
+
+
+@query("snk9_first_wins_stream", "SELECT event_id FROM events")
+def _(t):
+    at = scratch(t.spark)
+    rows = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    rows.unionByName(rows).repartition(4).write.parquet(f"{at}/in")
+    ingest.ingest_first_wins(t.spark, f"{at}/in", "event_id long, ts timestamp", "event_id", "ts", "3650 days", f"{at}/out", f"{at}/state")
+    return t.spark.read.parquet(f"{at}/out").select("event_id")
+
+
+@query("snk11_versions", "SELECT * FROM (VALUES ('a', 'a'), ('b', 'b_attempt2'), ('c', 'c_attempt4')) v(wanted, path)")
+def _(t):
+    there = ["b", "c", "c_attempt2", "c_attempt3"]
+    return t.spark.createDataFrame([(w, sinks.version_path(there, w)) for w in "abc"], "wanted string, path string")
+
+
+@query("snk14_log", "SELECT c_custkey, c_custkey % 3 AS run FROM customer")
+def _(t):
+    at = scratch(t.spark)
+    for k in range(3):
+        sinks.append(t.customer.filter(F.col("c_custkey") % 3 == k).select("c_custkey", F.lit(k).alias("run")), at)
+    return t.spark.read.parquet(at)
