@@ -231,3 +231,21 @@ def _(t):
     kind = F.when(F.col("doc_id") % 3 == 0, "H001").when(F.col("doc_id") % 3 == 1, "H002").otherwise("L001")
     units = t.documents.select("doc_id", F.lit("F001").alias("fact_id"), F.lit("highest_court").alias("level"), kind.alias("span_id"), F.when(F.col("doc_id") % 2 == 0, parts[0]).otherwise("other").alias("span"))
     return labels.grounded_units(units, passages).select("doc_id", "fact_id", "span_id", "status", "copy_status", F.md5("span").alias("span"))
+
+
+_BODY = "coalesce(text, '') || chr(10) || 'OPINION' || chr(10) || 'The plaintiff sought damages for negligence.'"
+
+
+@query(
+    "pre1_records",
+    f"WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_BODY}, '[ \\t]+', ' ', 'g'), '\\n[ \\t]+', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS x FROM documents WHERE length(text) > 200 AND NOT regexp_matches(text, '(?i)opinion|order|footnotes|notes|page|judge|background|\\*[0-9]|\\[|&|no\\.? |[0-9]+ +f\\.|[0-9]+ u\\.s') AND NOT regexp_matches(text, '[^ -~\\n]')) "
+    f"SELECT doc_id AS case_id, 'trial' AS court_level, CAST(length(x) AS INT) AS raw_char_count, '2010-03-04' AS decision_date, true AS has_marker, CAST(length('OPINION' || chr(10) || 'The plaintiff sought damages for negligence.') AS INT) AS reasoning_char_count, 7 AS token_count, 1 AS sentence_count, array_to_string(list_filter([{', '.join(f'CASE WHEN contains(lower(x), {_quoted(k)}) THEN {_quoted(k)} END' for k in L.KEYWORDS_EN)}], lambda v: v IS NOT NULL), '; ') AS keywords FROM t",
+)
+def _(t):
+    from ..operators.records import preprocessed
+
+    # plain English texts without marks of their own, so that the body's mark is the one that is added
+    plain = t.documents.filter((F.length("text") > 200) & ~F.col("text").rlike(r"(?i)opinion|order|footnotes|notes|page|judge|background|\*[0-9]|\[|&|no\.? |[0-9]+ +f\.|[0-9]+ u\.s") & ~F.col("text").rlike(r"[^ -~\n]"))
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\nOPINION\nThe plaintiff sought damages for negligence."))
+    rows = plain.select(F.col("doc_id").alias("case_id"), body.alias("raw_text"), F.lit("District Court").alias("court_name"), F.lit("2010. 3. 4.").alias("decision_date"), F.lit(None).cast("string").alias("number"), F.lit("").alias("level"))
+    return preprocessed(rows, korean=False).select("case_id", "court_level", "raw_char_count", "decision_date", "has_marker", "reasoning_char_count", "token_count", "sentence_count", "keywords")

@@ -176,3 +176,22 @@ def test_phrases_reach_every_label(spark):
     df = spark.createDataFrame([(t,) for t in ENGLISH], "x string")
     got = {r.p.posture for r in df.select(labels.posture_en(F.lit(""), F.lit(""), "x").alias("p")).collect()}
     assert len(got) >= 12
+
+
+def test_records(spark):
+    from lexstrata.operators.records import preprocessed
+
+    caption = "Smith v. Jones Corp., No. 12-34\r\n" + "x" * 90
+    us = [("a", caption + "\n  OPINION \nThe court of the U.S. ruled. He paid damages&nbsp;to Acme Inc. Then it ended.\nFOOTNOTES\n1. gone"), ("b", "OPINION\nshort"), ("c", None)]
+    rows = spark.createDataFrame([(i, t, "Supreme Court of X", None, None, None) for i, t in us], "case_id string, raw_text string, court_name string, decision_date string, number string, level string")
+    got = {r.case_id: r for r in preprocessed(rows, korean=False, least=5).collect()}
+    a = got["a"]
+    assert a.reasoning_text == "OPINION \nThe court of the U.S. ruled. He paid damages to Acme Inc. Then it ended.".replace(" \n", "\n") and a.has_marker
+    assert (a.sentence_count, a.court_level, a.case_number_or_citation, a.keywords) == (2, "supreme", "No. 12-34", "damages")
+    assert got["b"].reasoning_text == "OPINION\nshort" and got["b"].notes == "reasoning_marker_found; below_min_reasoning_tokens_5"
+    assert not got["c"].has_marker and got["c"].raw_char_count == 0
+    kr = [("k", "서울고등법원\n사 건 2010나123\n선고 2011. 2. 3.\n주문\n항소를 기각한다.\n이  유\n손해배상 책임이 있다. 위자료를 정한다.\n[별지 생략] 끝")]
+    rows = spark.createDataFrame([(i, t, None, None, None, None) for i, t in kr], rows.schema)
+    k = preprocessed(rows, korean=True).first()
+    assert (k.court_name, k.court_level, k.decision_date, k.case_number_or_citation) == ("서울고등법원", "appellate", "2011-02-03", "2010나123")
+    assert k.reasoning_text == "손해배상 책임이 있다. 위자료를 정한다." and k.sentence_count == 2 and k.keywords == "손해배상; 위자료"
