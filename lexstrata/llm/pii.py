@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import read, whole
 
-CONTEXT, THRESHOLD = 40, 0.7
+CONTEXT, THRESHOLD, CHUNK = 40, 0.7, 64
 _EMAIL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_EMAIL})){_EMAIL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -112,19 +112,26 @@ def score(kind: str, text: Column, span: Column) -> Column:
     return own + near
 
 
-def matches(gaps: Column, values: Column) -> Column:
-    """Spans from the parts between matches and the matches."""
+def matches(pairs: Column) -> Column:
+    """Spans from pairs of the part before a match and the match. Places run on within CHUNK pairs and then over the
+    chunks, so a text of very many matches is not copied once a match."""
     none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(a: Column, p: Column) -> Column:
-        begin = a["at"] + F.length(p["0"])
-        end = begin + F.length(p["1"])
-        span = F.struct(begin.alias("start"), end.alias("end"), p["1"].alias("value"))
+        begin = a["at"] + F.length(p["gap"])
+        end = begin + F.length(p["match"])
+        span = F.struct(begin.alias("start"), end.alias("end"), p["match"].alias("value"))
         return F.struct(end.alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("0"), v.alias("1")))
-    return F.aggregate(F.filter(pairs, lambda p: p["1"].isNotNull()), start, step, lambda a: a["spans"])
+    def chunk(c: Column) -> Column:
+        return F.aggregate(F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK)), F.struct(F.lit(0).alias("at"), none.alias("spans")), step)
+
+    def joined(a: Column, c: Column) -> Column:
+        moved = F.transform(c["spans"], lambda s: F.struct((s["start"] + a["at"]).alias("start"), (s["end"] + a["at"]).alias("end"), s["value"].alias("value")))
+        return F.struct((a["at"] + c["at"]).alias("at"), F.concat(a["done"], F.array(moved)).alias("done"))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), chunk)
+    return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("done")), joined, lambda a: F.flatten(a["done"]))
 
 
 def confirmed(kind: str):
@@ -147,12 +154,13 @@ def find(docs: DataFrame) -> DataFrame:
     kinds = list(PATTERNS)
     out = docs.withColumn("text", whole("text"))
     out = out.withColumns({f"gaps_{k}": F.split("text", p, -1) for k, p in PATTERNS.items()})
-    out = out.withColumns({f"values_{k}": F.when(F.size(f"gaps_{k}") > 1, F.regexp_extract_all("text", F.lit(p), F.lit(0))) for k, p in PATTERNS.items()})
+    paired = lambda k, p: F.arrays_zip(F.slice(f"gaps_{k}", F.lit(1), F.size(f"gaps_{k}") - 1).alias("gap"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("match"))
+    out = out.withColumns({f"pairs_{k}": F.when(F.size(f"gaps_{k}") > 1, paired(k, p)) for k, p in PATTERNS.items()})
     spans = {}
     for k in kinds:
-        found = F.when(F.size(f"gaps_{k}") > 1, matches(F.col(f"gaps_{k}"), F.col(f"values_{k}"))).otherwise(F.array().cast(SPAN))
+        found = F.when(F.size(f"gaps_{k}") > 1, matches(F.col(f"pairs_{k}"))).otherwise(F.array().cast(SPAN))
         spans[k] = F.filter(accounts(F.col("text"), found) if k == "iban" else found, confirmed(k))
-    return out.withColumns(spans).drop(*[f"{x}_{k}" for k in kinds for x in ("gaps", "values")])
+    return out.withColumns(spans).drop(*[f"{x}_{k}" for k in kinds for x in ("gaps", "pairs")])
 
 
 def named(kinds: tuple[str, ...]) -> Column:
@@ -183,7 +191,13 @@ def redact(docs: DataFrame) -> DataFrame:
         taken = F.struct((-s["back"]).alias("at"), F.concat(a["parts"], part).alias("parts"))
         return F.when(s["start"] >= a["at"], taken).otherwise(a)
 
-    text = F.aggregate(spans, first, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    def chunk(a: Column, c: Column) -> Column:
+        # a string for each chunk, so that many spans are not copied once a span
+        done = F.aggregate(F.slice("__spans", c * CHUNK + 1, F.lit(CHUNK)), F.struct(a["at"].alias("at"), F.array().cast("array<string>").alias("parts")), step)
+        return F.struct(done["at"].alias("at"), F.concat(a["parts"], F.array(F.array_join(done["parts"], ""))).alias("parts"))
+
+    chunks = F.sequence(F.lit(0), F.floor((F.size("__spans") - 1) / CHUNK).cast("int"))
+    text = F.aggregate(chunks, first, chunk, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     out = found.withColumn("__spans", spans).withColumn("__text", F.when(~F.col("__null"), F.when(F.size("__spans") > 0, text).otherwise(F.col("text"))))
     new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
     return out.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])

@@ -78,3 +78,15 @@ def test_clashing_names_and_very_long_texts(documents):
     assert kept.columns == odd.columns
     texts = {r.doc_id: r.text for r in kept.collect()}
     assert texts[1] == "[EMAIL]" and texts[2] is None and texts[0].count("[IP]") == 300
+
+
+def test_many_matches_in_one_text(documents):
+    import re
+
+    from lexstrata.llm import pii
+
+    text = "".join(f"{i % 256}.2.3.4 p{i}@x.org é " for i in range(3000))
+    row = pii.report(documents([text])).first()
+    want = [f"{k}:{m.start()}:{m.end()}" for k, p in (("email", r"p\d+@x\.org"), ("ip", r"\d+\.2\.3\.4")) for m in re.finditer(p, text)]
+    assert row.spans == ",".join(want) and (row.n_email, row.n_ip) == (3000, 3000)
+    assert pii.redact(documents([text])).first().text == "[IP] [EMAIL] é " * 3000
