@@ -140,9 +140,13 @@ def blocks_of(rows: list, sample: list, k: int) -> dict[int, Block]:
         kth: list = [None] * len(own)
         if len(like) > k:
             exact, names = np.array([s["x"] for s in like], dtype=np.int64), np.array([s["row"] for s in like])
-            for i, r in enumerate(own):
-                scores = products(exact, x[i])[names != r["row"]]
-                kth[i] = int(np.partition(scores, len(scores) - k)[len(scores) - k])
+            small = float(np.abs(exact.astype(np.float64)).max()) * float(np.abs(x.astype(np.float64)).sum(axis=1).max()) < 2**53
+            points = exact.astype(np.float64).T  # whole numbers below 2**53 stay exact
+            for a in range(0, len(own), 256):
+                scores = x[a : a + 256].astype(np.float64) @ points if small else None
+                for i in range(a, min(a + 256, len(own))):
+                    others = (scores[i - a] if small else products(exact, x[i]))[names != own[i]["row"]]
+                    kth[i] = int(np.partition(others, len(others) - k)[len(others) - k])
         out[dims] = Block(np.array([r["row"] for r in own], dtype=np.int64), [r["vec_id"] for r in own], x, kth)
     return out
 
