@@ -249,3 +249,14 @@ def _(t):
     body = F.concat(F.coalesce("text", F.lit("")), F.lit("\nOPINION\nThe plaintiff sought damages for negligence."))
     rows = plain.select(F.col("doc_id").alias("case_id"), body.alias("raw_text"), F.lit("District Court").alias("court_name"), F.lit("2010. 3. 4.").alias("decision_date"), F.lit(None).cast("string").alias("number"), F.lit("").alias("level"))
     return preprocessed(rows, korean=False).select("case_id", "court_level", "raw_char_count", "decision_date", "has_marker", "reasoning_char_count", "token_count", "sentence_count", "keywords")
+
+
+@query("fpt1_fact_patterns")
+def _(t):
+    from ..operators.fact_patterns import fact_patterns
+
+    # half of the texts get a heading of facts, so that both ways occur
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Opinion\nFACTS\n"), F.coalesce("text", F.lit("")), F.lit("\nDISCUSSION\nHe is liable."))).otherwise(F.col("text"))
+    rows = t.documents.select(F.col("doc_id").alias("case_id"), text.alias("raw_text"), F.lit("").alias("title"), F.lit("").alias("court"))
+    p = fact_patterns(rows, korean=False)
+    return p.select("case_id", "status", "excluded_reason", "method", F.array_join("flags", ",").alias("flags"), F.length("fact").alias("n_chars"))

@@ -195,3 +195,30 @@ def test_records(spark):
     k = preprocessed(rows, korean=True).first()
     assert (k.court_name, k.court_level, k.decision_date, k.case_number_or_citation) == ("서울고등법원", "appellate", "2011-02-03", "2010나123")
     assert k.reasoning_text == "손해배상 책임이 있다. 위자료를 정한다." and k.sentence_count == 2 and k.keywords == "손해배상; 위자료"
+
+
+def test_fact_patterns(spark):
+    from lexstrata.operators.fact_patterns import fact_patterns
+
+    schema = "case_id string, raw_text string, title string, court string"
+    body = "The driver in California struck him, No. 12-3. " + "He went on walking home that day. " * 8
+    us = [
+        ("heading", f"Intro\nFACTS\n{body}\nDISCUSSION\nliability", "", ""),
+        ("bare", body + "It was negligence of Acme Stores.", "Acme Stores", ""),
+        ("crime", "The habeas petition.", "", ""),
+        ("short", "FACTS\nHe fell.", "", ""),
+        ("empty", None, None, None),
+    ]
+    got = {r.case_id: r for r in fact_patterns(spark.createDataFrame(us, schema), korean=False).collect()}
+    h = got["heading"]
+    assert (h.status, h.method, h.flags) == ("pass", "heading_based", ["translation_needed"]) and "California" not in h.fact and "12-3" not in h.fact
+    assert {"California", "No. 12-3."} <= set(h.removed)
+    b = got["bare"]
+    assert (b.status, b.method) == ("warning", "fallback") and b.fact.endswith("careless conduct of .") and "Acme Stores" in b.removed
+    assert (got["crime"].status, got["crime"].excluded_reason) == ("fail", "criminal_case_signal")
+    assert (got["short"].status, got["short"].excluded_reason) == ("fail", "fact_candidate_failed_qc")
+    assert (got["empty"].status, got["empty"].excluded_reason) == ("fail", "empty_text")
+    kr = [("k", "주문\n1. 기각\n이유\n1. 기초사실\n원고는 2010. 3. 4. 길에서 피고의 차에 부딪혀 다쳤다. 갑 제1호증의 각 기재에 따르면 그는 병원에 갔다. " + "그는 집에서 쉬었다. " * 20 + "\n2. 판단\n불법행위책임이 있다.", "", ""), ("c", "피고인은 유죄", "", ""), ("q", "이 법원이 적을 이유는 같다", "", "")]
+    got = {r.case_id: r for r in fact_patterns(spark.createDataFrame(kr, schema), korean=True).collect()}
+    assert got["k"].status == "pass" and "호증" not in got["k"].fact and "판단" not in got["k"].fact and got["k"].method == "heading_based"
+    assert (got["c"].excluded_reason, got["q"].excluded_reason) == ("criminal_case_signal", "procedural_section_signal")
