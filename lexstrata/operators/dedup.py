@@ -92,9 +92,9 @@ def contained(units: DataFrame, doc: str, pos: str, text: str, least: int) -> Da
 
 def similar_texts(rows: DataFrame, row: str, text: str, ratio: float = 0.96, most: int = 5000) -> DataFrame:
     """Pairs (a, b), a < b, of texts whose difflib ratio over the first `most` normalised characters is at least `ratio`
-    (JOI-15). Candidates share a MinHash band of character 8-grams; a text meets the least row of each of its bands, and in
-    later rounds those of the bands' rows that no earlier leader was like, until every text of a band is like a leader or
-    one itself. So a band of like texts gives as many pairs as members."""
+    (JOI-15). Candidates share a MinHash band of character 8-grams; a text meets the leader of each of its bands, and in later
+    rounds more leaders, eight times as many each, among the rows that no leader was like, until every text of a band is
+    like a leader or one itself. So a band of like texts gives as many pairs as members."""
     from difflib import SequenceMatcher
 
     norm = rows.select(row, F.substring(F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\W_]+", " ")), 1, most).alias("t"))
@@ -106,18 +106,27 @@ def similar_texts(rows: DataFrame, row: str, text: str, ratio: float = 0.96, mos
 
     @F.pandas_udf("double")
     def same(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p, q, autojunk=False).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+        def one(p: str, q: str) -> float:
+            m = SequenceMatcher(None, p, q, autojunk=False)  # two upper bounds first: they cost little
+            return m.ratio() if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio else 0.0
+
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     one, two, found = norm.toDF("a", "x"), norm.toDF("b", "y"), None
+    share, uniform = 1, F.pmod(F.xxhash64(row), F.lit(1 << 30)) / float(1 << 30)
     while True:
-        heads = open_.groupBy("band", "key").agg(F.min(row).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        met = written(open_.join(heads, ["band", "key"]).filter(F.col("a") < F.col(row)).withColumnRenamed(row, "b"))
+        sizes = open_.groupBy("band", "key").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        heads = open_.join(sizes, ["band", "key"]).filter((F.col("first") == F.col(row)) | (uniform * F.col("n") < share))
+        met = open_.join(heads.select("band", "key", F.col(row).alias("head")), ["band", "key"]).filter(F.col("head") != F.col(row))
+        met = written(met.select("band", "key", row, "head", F.least("head", row).alias("a"), F.greatest("head", row).alias("b")))
         pairs = met.select("a", "b").distinct()
         pairs = pairs if found is None else pairs.join(found, ["a", "b"], "left_anti")
         judged = written(pairs.join(one, "a").join(two, "b").select("a", "b", same("x", "y").alias("ratio")))
         found = judged if found is None else written(found.unionByName(judged))
-        unlike = met.join(found.filter(F.col("ratio") < ratio), ["a", "b"], "left_semi").select(F.col("b").alias(row), "band", "key")
-        open_ = written(unlike)
+        like = met.join(found.filter(F.col("ratio") >= ratio), ["a", "b"], "left_semi").select("band", "key", row).distinct()
+        left = met.select("band", "key", row).distinct().join(like, ["band", "key", row], "left_anti")
+        open_ = written(left.join(heads.select("band", "key", row), ["band", "key", row], "left_anti"))
+        share *= 8
         if not open_.limit(1).count():
             return found.filter(F.col("ratio") >= ratio)
 
