@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from ._bytes import join_texts, mix, prefix_hash, runs, span_hash
 from .common import read, whole
 
-SAMPLE, CHAIN, ROUNDS, BATCH_BYTES, THRESHOLD = 1000, 512, 60, 2_000_000, 0.7
+SAMPLE, CHAIN, ROUNDS, BATCH_BYTES, FIT_BYTES, THRESHOLD = 1000, 512, 60, 1_000_000, 500_000, 0.7
 LEAST_ODDS, LEAST_RATIO, BROADCAST_ROWS = 12.0, 30.0, 1_000_000
 FEATURES = (("word", None), ("first", 3), ("first", 4), ("first", 5), ("first", 6), ("last", 4))
 
@@ -82,7 +82,8 @@ class Model:
         return out
 
     def emissions(self, columns: np.ndarray) -> np.ndarray:
-        return np.append(self.weights, 0.0)[columns].sum(axis=1) + self.bias
+        own = np.append(self.weights, 0.0)
+        return sum((own[columns[:, k]] for k in range(columns.shape[1])), np.full(len(columns), self.bias))
 
 
 def padded(first: np.ndarray, cells: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -158,11 +159,27 @@ def chains(first: np.ndarray) -> np.ndarray:
     return np.concatenate([*starts, first[-1:]]).astype(first.dtype)
 
 
+def slices(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `size` characters each, one text at least."""
+    begin, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= size or i == len(texts) - 1:
+            yield begin, i + 1
+            begin, held = i + 1, 0
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """A model of labelled texts."""
-    hashes, starts, _, first, _ = tokens(texts)
+    parts, n = [], []
+    for i, j in slices(texts, FIT_BYTES):
+        h, _, _, own, _ = tokens(texts[i:j])
+        parts.append(h)
+        n.append(np.diff(own))
+    first = np.concatenate([[0], np.cumsum(np.concatenate(n))])
+    feature = lambda k: np.concatenate([p[:, k] for p in parts])  # noqa: E731  one feature at a time: temporaries stay small
     # near copies count once: the least hash of three words in a row
-    word = hashes[:, 0]
+    word = feature(0)
     row = np.repeat(np.arange(len(texts)), np.diff(first))
     least = np.zeros(len(texts), dtype=np.uint64)
     for i in range(len(texts)):
@@ -171,7 +188,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         least[i] = s.min() if len(s) else i
     once = np.unique(np.stack([least, toxic.astype(np.uint64)], 1), axis=0, return_index=True)[1]
     keep = np.isin(row, once)
-    found = [seen_in(hashes[keep, k], row[keep], toxic) for k in range(len(FEATURES))]  # features differ in their keys
+    found = [seen_in(feature(k)[keep], row[keep], toxic) for k in range(len(FEATURES))]  # features differ in their keys
     keys = np.concatenate([f[0] for f in found])
     by = np.argsort(keys, kind="stable")
     keys, in_toxic, in_clean = keys[by], *(np.concatenate([f[i] for f in found])[by] for i in (1, 2))
@@ -184,22 +201,26 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     marked = (odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO)
     used = (in_toxic + in_clean >= 3) | marked
     model = Model(keys[used], np.zeros(int(used.sum())), -3.0, np.log(np.array([[0.95, 0.05], [0.7, 0.3]])), None)
-    columns = model.columns(hashes)
+    columns = np.empty((len(row), len(FEATURES)), dtype=np.int32)
+    for k in range(len(FEATURES)):
+        columns[:, k] = model.columns(feature(k)[:, None])[:, 0]
+    parts.clear()
     mark = np.append(marked[used], False)
-    y = (mark[columns].any(axis=1) & (toxic[row] == 1)).astype(float)
+    y = np.zeros(len(columns))
+    for k in range(len(FEATURES)):
+        y += mark[columns[:, k]]
+    y = ((y > 0) & (toxic[row] == 1)).astype(float)
     cut = chains(first)
     follow = np.ones(len(y), dtype=bool)
     follow[cut[:-1]] = False
     was, now = y[np.flatnonzero(follow) - 1].astype(int), y[follow].astype(int)
     truth = np.bincount(was * 2 + now, minlength=4).reshape(2, 2).astype(float)
     step_w, step_b, step_t = np.full(len(model.keys), 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    has = columns >= 0
-    flat_columns = columns[has]
     scale = max(1.0, y.sum())
     for _ in range(ROUNDS if y.any() else 0):
         p, pairs = marginals(model.emissions(columns), model.change, cut)
         miss = y - p
-        g = np.bincount(flat_columns, np.repeat(miss, has.sum(axis=1)), len(model.keys)) / scale - 1e-4 * model.weights
+        g = sum(np.bincount(columns[:, k] + 1, miss, len(model.keys) + 1)[1:] for k in range(len(FEATURES))) / scale - 1e-4 * model.weights
         step_w += g * g
         model.weights += 0.5 * g / np.sqrt(step_w)
         gb = miss.sum() / scale
