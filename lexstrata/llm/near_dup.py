@@ -21,7 +21,7 @@ classes that have it are verified. What no rare shingle joins is proven unlike.
 pairs of all buckets give, and a shared passage or a family of copies costs rows in proportion to its members, not
 their square. Rarity is a count by hash cell (CELLS at most); it steers cost only.
 
-Classes are connected components by least-label propagation with pointer jumping, every round written to the shared
+Classes are connected components by least-label contraction with pointer jumping, every round written to the shared
 folder.
 
 Edge cases: null texts and texts without words are one class each, by equal text only; texts of fewer than five words
@@ -213,20 +213,39 @@ def verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (least node of its component) for all nodes of the edges (a, b)."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    """node, label (least node of its component) for all nodes of the edges (a, b).
+
+    In each round a node takes the label of its least neighbour if that is less than itself, and then that label's own;
+    edges go on between labels, each once, and those within one label are gone. So the edges shrink from round to round."""
+    ordered = lambda d, a, b: d.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter(F.col("a") < F.col("b")).distinct()
+    rest, labels = written(ordered(edges, "a", "b"), "edges"), None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        next_ = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("least"))
-        jump = labels.select(F.col("node").alias("least"), F.col("label").alias("jump"))
-        next_ = written(next_.join(jump, "least", "left").select("node", "label", F.least("least", F.coalesce("jump", "least")).alias("least")), "labels")
-        changed = next_.filter(F.col("label") != F.col("least")).limit(1).count()
-        labels = next_.select("node", F.col("least").alias("label"))
-        if not changed:
+        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))
+        near = written(near, "near")
+        step = written(near.join(near.toDF("label", "to"), "label").select("node", F.col("to").alias("label")), "labels")
+        if labels is None:
+            labels = step
+        else:
+            labels = written(labels.join(step.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        rest = rest.join(step.toDF("a", "label_a"), "a").join(step.toDF("b", "label_b"), "b")
+        rest = written(ordered(rest, "label_a", "label_b"), "edges")
+        if not rest.limit(1).count():
             return labels
 
 
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels with the components that further links join; only the links' labels are walked."""
+    side = lambda c: labels.toDF(c, f"label_{c}")
+    ends = links.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    edges = written(ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct(), "links")
+    if not edges.limit(1).count():
+        return labels
+    more = components(edges)
+    known = labels.join(more.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return written(known.unionByName(more.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
 def led(buckets: DataFrame) -> DataFrame:
     """Rows of buckets of two texts or more, with column a: the bucket's leader, its first member by order."""
     heads = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("order", "row")).alias("first"))
@@ -361,16 +380,20 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = written(led(buckets), "shared")
     pairs = shared.filter(F.col("a") != F.col("row")).select("a", F.col("row").alias("b")).distinct()
     links = written(verified(pairs, sketches), "pairs").filter("similar")
-    mixed, texts = left_open(shared, components(links), sketches)
-    size = texts.agg(F.sum("n")).first()[0] or 0
-    counts = docs.sparkSession.sparkContext.broadcast(counted(texts, cells_for(size)))
-    again = led(mixed.join(central(texts, counts), "row")).join(texts.select(F.col("row").alias("a"), F.col("label").alias("label_a")), "a")
-    again = again.filter(F.col("label") != F.col("label_a")).select("a", F.col("row").alias("b")).distinct()
-    links = links.unionByName(written(verified(again, texts), "pairs").filter("similar"))
-    texts = left_open(mixed, components(links), texts)[1]
-    links = links.unionByName(written(verified(unsettled(texts, counts), texts), "pairs").filter("similar"))
-    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     labels = components(links)
+    mixed, texts = left_open(shared, labels, sketches)
+    size = texts.agg(F.sum("n")).first()[0]
+    if size:
+        counts = docs.sparkSession.sparkContext.broadcast(counted(texts, cells_for(size)))
+        again = led(mixed.join(central(texts, counts), "row")).join(texts.select(F.col("row").alias("a"), F.col("label").alias("label_a")), "a")
+        again = again.filter(F.col("label") != F.col("label_a")).select("a", F.col("row").alias("b")).distinct()
+        again = written(verified(again, texts), "pairs").filter("similar")
+        labels = extended(labels, again)
+        texts = left_open(mixed, labels, texts)[1]
+        more = written(verified(unsettled(texts, counts), texts), "pairs").filter("similar")
+        labels = extended(labels, more)
+        links = links.unionByName(again).unionByName(more)
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = labels.join(degree, "node").withColumnRenamed("node", "row")
     of = nodes.select("node", "row", "least", "n_rows").join(known, "row", "left")
