@@ -31,8 +31,8 @@ from pyspark.sql.window import Window
 from ._bytes import join_texts, mix, prefix_hash, runs, span_hash
 from .common import read, whole
 
-SAMPLE, CHAIN, ROUNDS, BATCH_BYTES, FIT_BYTES, THRESHOLD = 1000, 512, 60, 1_000_000, 500_000, 0.7
-LEAST_ODDS, LEAST_RATIO, BROADCAST_ROWS = 12.0, 30.0, 1_000_000
+SAMPLE, CHAIN, ROUNDS, BATCH_BYTES, FIT_BYTES, THRESHOLD = 1000, 512, 60, 2_000_000, 500_000, 0.7
+LEAST_ODDS, LEAST_RATIO, BROADCAST_ROWS, SALTS = 12.0, 30.0, 1_000_000, 64
 FEATURES = (("word", None), ("first", 3), ("first", 4), ("first", 5), ("first", 6), ("last", 4))
 
 _WORD = np.zeros(256, dtype=bool)
@@ -270,8 +270,11 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     text = whole("text")
     rows = docs.filter(F.length(text) > 0).select("doc_id", F.xxhash64(text).alias("hash")).join(known, "doc_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("hash", "doc_id"))
-    few = rows.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE).select("doc_id", "hash", "toxic")  # 2 x SAMPLE rows
+    few = rows.withColumn("salt", F.pmod("hash", F.lit(SALTS)))
+    for keys in (["toxic", "salt"], ["toxic"]):  # the first of each label and salt, then of each label: 2 x SAMPLE rows
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "doc_id"))
+        few = few.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE)
+    few = few.select("doc_id", "hash", "toxic")
     texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash")).join(F.broadcast(few), ["doc_id", "hash"])
     found = texts.select("toxic", "hash", "doc_id", "text").distinct().collect()
     return [(r["text"], r["toxic"]) for r in sorted(found, key=tuple)]
