@@ -57,6 +57,15 @@ def tasks(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Spark send Python at most so many rows at once, or fewer if the session says so: with whole texts a batch is
+    held up to four times, in the JVM and in Python, by each task. The setting stays, as plans run later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def whole(text: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -41,9 +41,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import join_texts, mix, runs, window_extreme, words
-from .common import read, whole, written
+from .common import read, small_batches, whole, written
 
-SHINGLE, PICK, BANDS, SIMILAR, BATCH_BYTES, BROADCAST_ROWS, CELLS, SLAB = 5, 3, 24, 0.8, 4_000_000, 1_000_000, 1 << 20, 200_000
+SHINGLE, PICK, BANDS, SIMILAR, BATCH_BYTES, BROADCAST_ROWS, CELLS, SLAB = 5, 3, 24, 0.8, 2_000_000, 1_000_000, 1 << 20, 200_000
 TOP = np.uint64(2**64 - 1)
 
 
@@ -373,6 +373,7 @@ def unsettled(texts: DataFrame, counts) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two written tables: doc_id, text_key and node of each row; node, class_id, n_class, n_links, keep_id and keep_key
     (doc_id and text_key of the row to keep, the least of the class, null ids last)."""
+    small_batches(docs.sparkSession)
     sketches = written(sketched(docs), "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
     nodes = written(sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("n").alias("n"), least, F.count(F.lit(1)).alias("n_rows")), "nodes")

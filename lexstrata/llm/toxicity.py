@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ._bytes import join_texts, mix, prefix_hash, runs, span_hash
-from .common import read, whole
+from .common import read, small_batches, whole
 
-SAMPLE, CHAIN, ROUNDS, BATCH_BYTES, FIT_BYTES, THRESHOLD = 1000, 512, 60, 2_000_000, 500_000, 0.7
+SAMPLE, CHAIN, ROUNDS, BATCH_BYTES, FIT_BYTES, THRESHOLD = 1000, 512, 60, 1_000_000, 500_000, 0.7
 LEAST_ODDS, LEAST_RATIO, BROADCAST_ROWS, SALTS = 12.0, 30.0, 1_000_000, 64
 FEATURES = (("word", None), ("first", 3), ("first", 4), ("first", 5), ("first", 6), ("last", 4))
 
@@ -283,6 +283,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs as columns c0, c1, .. with score (double) and offsets (string: code points start:end of toxic words)."""
     spark = docs.sparkSession
+    small_batches(spark)
     sample = training_sample(docs, labels)
     y = np.array([s[1] for s in sample], dtype=float)
     model = fit([s[0] for s in sample], y) if 0 < y.sum() < len(y) else None
