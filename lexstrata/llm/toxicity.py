@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ._bytes import join_texts, mix, prefix_hash, runs, span_hash
-from .common import read, small_batches, whole
+from .common import read, small_batches, trim, whole
 
 SAMPLE, CHAIN, ROUNDS, BATCH_BYTES, FIT_BYTES, THRESHOLD = 1000, 512, 60, 1_000_000, 500_000, 0.7
 LEAST_ODDS, LEAST_RATIO, BROADCAST_ROWS, SALTS = 12.0, 30.0, 1_000_000, 64
@@ -287,6 +287,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample = training_sample(docs, labels)
     y = np.array([s[1] for s in sample], dtype=float)
     model = fit([s[0] for s in sample], y) if 0 < y.sum() < len(y) else None
+    del sample, y
+    trim()  # the fit's arrays
     shipped = spark.sparkContext.broadcast(model)  # at most the features of 2 x SAMPLE texts
     place = docs.columns.index("text")
     names = [f"c{i}" for i in range(len(docs.columns))]
