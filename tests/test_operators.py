@@ -95,6 +95,21 @@ def test_graph(spark):
     assert graph.dangling(units, e, "case_id", "ids", "entity_id").first().missing == ["yy", "zz"]
 
 
+def test_entities_of_one_name_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    at = f"{tmp_path}/customer.parquet"
+    rows = "SELECT i AS c_custkey, 'Customer#' || i % 20 AS c_name, CAST(i % 2 AS INT) AS c_nationkey, CAST(i AS DOUBLE) AS c_acctbal, CASE i % 3 WHEN 0 THEN 'a' ELSE 'b' END AS c_mktsegment FROM range(200) t(i)"
+    db = duckdb.connect()
+    db.execute(f"COPY ({rows}) TO '{at}' (FORMAT parquet)")
+    db.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{at}')")
+    want = db.execute(f"SELECT case_id, old_id, entity_id, placeholder FROM ({entry.oracle_sql()['gph1_entities']})").fetchall()
+    got = entry.queries()["gph1_entities"](spark, str(tmp_path)).select("case_id", "old_id", "entity_id", "placeholder").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) == 200
+
+
 def test_statistics(spark):
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 9, 40), rng.integers(2, 12, 30)
