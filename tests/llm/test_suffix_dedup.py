@@ -67,6 +67,14 @@ def test_odd_tables(documents):
     assert [(r.doc_id, r.n_removed) for r in rows] == [(None, 800)] * 2
 
 
+def test_even_parts(documents):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(20_000)) for _ in range(20)]
+    shard = sd.Shard(sd.sharded(documents(texts).coalesce(1)).collect()[0])
+    load = np.diff(sd.parts_of(shard.anchor[shard.distinct], 10))
+    assert load.sum() > 2000 and load.max() < 1.5 * load.mean()  # by the hashes that chose them all stood in the first
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 99, (400, 16)).astype(np.uint8)
