@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,16 +14,19 @@ from ..functions.text import alpha_suffix
 TURNED = (("employed_by", "employs"), ("owned_by", "owns"), ("treated_by", "treats"), ("injured_by", "injures"))
 
 
-def named_entities(entities: DataFrame, by_name: bool = True) -> DataFrame:
+def named_entities(entities: DataFrame, by_name: bool = True, suffix: Callable[[str], Column] = alpha_suffix) -> DataFrame:
     """case_id, old_id, entity_id (E001..) and placeholder ([KIND_A]..) in the order of position, one per (case, kind, name),
-    or without by_name one per entity, as namesakes may be different ones."""
-    own = [] if by_name else [F.col("entity_id").alias("own")]
-    tie = [] if by_name else ["own"]
-    first = entities.groupBy("case_id", "kind", F.lower("name").alias("name"), *own).agg(F.min("position").alias("position"), F.collect_set("entity_id").alias("old_ids"))
-    n = F.row_number().over(Window.partitionBy("case_id").orderBy("position", "kind", "name", *tie))
-    k = F.row_number().over(Window.partitionBy("case_id", "kind").orderBy("position", "name", *tie))
+    or without by_name one per row, as namesakes may be different ones. Nulls come last; `suffix` says a number in letters."""
+    name = F.lower("name").alias("name")
+    if by_name:
+        first = entities.groupBy("case_id", "kind", name).agg(F.min("position").alias("position"), F.collect_set("entity_id").alias("old_ids"))
+    else:
+        first = entities.select("case_id", "kind", name, "position", F.array("entity_id").alias("old_ids"))
+    position, kind, name, own = (F.asc_nulls_last(c) for c in ("position", "kind", "name", "old_ids"))
+    n = F.row_number().over(Window.partitionBy("case_id").orderBy(position, kind, name, own))
+    k = F.row_number().over(Window.partitionBy("case_id", "kind").orderBy(position, name, own))
     out = first.withColumns({"n": n, "k": k})
-    return out.select("case_id", F.explode("old_ids").alias("old_id"), F.format_string("E%03d", "n").alias("entity_id"), F.concat(F.lit("["), F.upper("kind"), F.lit("_"), alpha_suffix("k"), F.lit("]")).alias("placeholder"))
+    return out.select("case_id", F.explode("old_ids").alias("old_id"), F.format_string("E%03d", "n").alias("entity_id"), F.concat(F.lit("["), F.upper("kind"), F.lit("_"), suffix("k"), F.lit("]")).alias("placeholder"))
 
 
 def normal_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:

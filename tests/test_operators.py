@@ -110,6 +110,32 @@ def test_entities_of_one_name_equal_their_sql(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == sorted(want) and len(want) == 200
 
 
+def test_entities_beyond_two_letters_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    at = f"{tmp_path}/customer.parquet"
+    rows = "SELECT i AS c_custkey, 'Customer#' || i AS c_name, 1 AS c_nationkey, CAST(i AS DOUBLE) AS c_acctbal, 'a' AS c_mktsegment FROM range(1500) t(i)"
+    odd = "SELECT * FROM (VALUES (7, 'Customer#7', 1, 7.0, 'a'), (NULL, 'x', 2, 0.0, 'a'), (NULL, NULL, 2, 0.0, 'b'), (1, 'y', 2, 0.0, NULL), (NULL, 'z', NULL, 0.0, 'a'), (2, 'z', NULL, 0.0, 'a'))"
+    db = duckdb.connect()
+    db.execute(f"COPY ({rows} UNION ALL {odd}) TO '{at}' (FORMAT parquet)")
+    db.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{at}')")
+    want = db.execute(f"SELECT case_id, old_id, entity_id, placeholder FROM ({entry.oracle_sql()['gph1_entities']})").fetchall()
+    got = entry.queries()["gph1_entities"](spark, str(tmp_path)).select("case_id", "old_id", "entity_id", "placeholder").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr) and len(want) == 1506
+
+
+def test_entity_letters_at_every_code_point(spark):
+    from lexstrata.plans.library import _two_letters
+
+    points = [64 + 27, 255, 256, 0xD7FF, 0xE000, 0xFEFF, 0xFFFF, 0x10000, 0x10FFFF]
+    ks = [(p - 64) * 26 + 2 for p in points]
+    got = [r.v for r in spark.createDataFrame([(k,) for k in [1, 26, 27, 702, *ks, (0xD800 - 64) * 26 + 1]], "k int").select(_two_letters("k").alias("v")).collect()]
+    assert got[:-1] == ["A", "Z", "AA", "ZZ", *(chr(p) + "B" for p in points)]
+    assert got[-1].isalpha() and got[-1].isascii() and len(got[-1]) > 2
+
+
 def test_statistics(spark):
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 9, 40), rng.integers(2, 12, 30)
